@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from docmill.llm import suffix_dedup
+from docmill.llm import packing, suffix_dedup, token_records
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
+    "op3_token_records": token_records.query,
+    "op4_best_fit_packing": packing.query,
 }
 
 SQL: dict[str, str] = {}
