@@ -26,7 +26,7 @@ from docmill.llm._tokens import tokenizer_path, word_coder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # appended to each document
-RECORDS_PER_FILE = 8192  # a file is read as one value, so it is kept far below 2 GB
+RECORDS_PER_FILE = 4096  # a file is read as one value, so it is kept far below 2 GB
 
 INDEX = "doc_id long, file string, offset long, length long, n_tokens long, ids_crc32 long"
 _HEAD = struct.Struct("<QI")

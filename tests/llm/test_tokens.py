@@ -21,6 +21,8 @@ TEXTS = [
     "word " * 9000,
     "日本語のテキスト 中文 한국어",
     "same text", "same text",
+    "It'S I'LL you're ÉCOLE ÀÉÎ÷×ß naïve(x) a-b c_d x^2 é<q>ö|<|ENDOFTEXT|> A\u030a e\u0301. n\u0303! I\u0307 ªº µ K Å ŉ ǰ ſ",
+    "ÉCOLE ÀÉÎ÷×ß Straße(x) ÝÞÿ a-b c_d x^2 A\u030a. e\u0301. n\u0303! o\u0338< <\u0338 a<\u0338 I\u0307 ªº µ K Å ŉ ǰ ſ I'd've x's'S x'Ré it'll.",
     "emoji 👩‍👩‍👧 ﻿ zero​width",
 ]
 
