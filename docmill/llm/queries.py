@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docmill.llm import packing, suffix_dedup, token_records
+from docmill.llm import packing, suffix_dedup, token_records, trie_bpe
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op3_token_records": token_records.query,
     "op4_best_fit_packing": packing.query,
+    "op9_trie_bpe": trie_bpe.query,
 }
 
 SQL: dict[str, str] = {}
