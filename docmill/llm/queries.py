@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docmill.llm import html_extract, packing, suffix_dedup, token_records, trie_bpe
+from docmill.llm import html_extract, minhash_dedup, packing, suffix_dedup, token_records, trie_bpe
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_html_extract": html_extract.query,
     "op3_token_records": token_records.query,
     "op4_best_fit_packing": packing.query,
+    "op5_minhash_dedup": minhash_dedup.query,
     "op9_trie_bpe": trie_bpe.query,
 }
 
