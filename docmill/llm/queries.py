@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import html_extract, minhash_dedup, packing, suffix_dedup, token_records, trie_bpe
+from docmill.llm import html_extract, license_scan, minhash_dedup, packing, quality_rules, suffix_dedup, token_records, trie_bpe
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -10,7 +10,11 @@ QUERIES = {
     "op3_token_records": token_records.query,
     "op4_best_fit_packing": packing.query,
     "op5_minhash_dedup": minhash_dedup.query,
+    "op6_license_scan": license_scan.query,
     "op9_trie_bpe": trie_bpe.query,
+    "op10_quality_rules": quality_rules.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_license_scan": license_scan.oracle(),
+}
