@@ -1,6 +1,7 @@
 """Quality rules: base rules on every text, and a hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-Words and pairs of neighbouring words fall into BUCKETS hash buckets. Two multinomials over the buckets are counted: one over all documents, one over
+An n-gram is the ending (last two characters) of a word, or the endings of two neighbouring words: endings are few and so well counted in small corpora too,
+where whole words are mostly met once. N-grams fall into BUCKETS hash buckets. Two multinomials over the buckets are counted: one over all documents, one over
 those that the labels table trusts (quality 1, not toxic). A text's score is the mean over its n-grams of log(target share / raw share); a text that
 passes the base rules is kept if the score reaches THRESHOLD. DataFrame functions only, and every document is counted and scored.
 """
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from docmill.llm._common import ID
 
 BUCKETS = 1 << 14
+ENDING = 2  # characters of a word that an n-gram looks at
 SMOOTHING = 1.0  # added to each bucket's count
-THRESHOLD = -0.06
+THRESHOLD = -1.5  # clean text scores above -1.1, symbol-ridden and shouted text below -2
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 
@@ -29,8 +31,12 @@ def _words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACES + "+"))
 
 
+def _endings(words: Column) -> Column:
+    return F.transform(words, lambda w: F.substring(w, -ENDING, ENDING))
+
+
 def _grams(words: Column) -> Column:
-    """The buckets of all words and of all pairs of neighbours."""
+    """The buckets of all endings and of all pairs of neighbours."""
     bucket = lambda *w: F.pmod(F.xxhash64(*w), F.lit(BUCKETS)).cast("int")
     pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: bucket(F.get(words, i), w))
     return F.concat(F.transform(words, lambda w: bucket(w)), pairs)
@@ -68,7 +74,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[float]:
     """The log-ratio of each bucket. Without trusted documents all are 0. labels: doc_id, quality, toxic; a document is trusted if no row objects."""
     trusted = labels.groupBy(F.col(ID).cast("long").alias(ID)).agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted")).filter("trusted")
     rows = docs.select(F.col(ID).cast("long").alias(ID), "text").join(trusted, ID, "left")
-    words = _fixed(rows, w=_words(F.coalesce("text", F.lit("")))).select("w", "trusted")
+    words = _fixed(rows, w=_endings(_words(F.coalesce("text", F.lit(""))))).select("w", "trusted")
     grams = words.select(F.explode(_grams(F.col("w"))).alias("bucket"), "trusted")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()  # at most BUCKETS rows
     raw = sum(r.raw for r in counts) + SMOOTHING * BUCKETS
@@ -84,7 +90,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> list[float]:
 def judge(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """measure() with score (null without words) and kept; each row by itself."""
     table = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folded into one literal
-    df = _fixed(measure(docs), _grams=_grams(F.col("_words")))
+    df = _fixed(measure(docs), _words=_endings(F.col("_words")))
+    df = _fixed(df, _grams=_grams(F.col("_words")))
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
     df = _fixed(df, score=F.when(F.size("_grams") > 0, total / F.size("_grams")))
     return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold)).drop("_words", "_grams")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import html_extract, license_scan, minhash_dedup, packing, quality_rules, suffix_dedup, token_records, trie_bpe
+from docmill.llm import embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, packing, quality_rules, suffix_dedup, token_records, trie_bpe
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_minhash_dedup": minhash_dedup.query,
     "op6_license_scan": license_scan.query,
+    "op7_language_id": language_id.query,
+    "op8_embedding_dedup": embedding_dedup.query,
     "op9_trie_bpe": trie_bpe.query,
     "op10_quality_rules": quality_rules.query,
 }

@@ -29,7 +29,7 @@ def bucket(*words):
 
 
 def grams(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    w = [x[-2:] for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return [bucket(x) for x in w] + [bucket(a, b) for a, b in zip(w, w[1:])]
 
 
