@@ -73,7 +73,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> list[float]:
     """The log-ratio of each bucket. Without trusted documents all are 0. labels: doc_id, quality, toxic; a document is trusted if no row objects."""
     trusted = labels.groupBy(F.col(ID).cast("long").alias(ID)).agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted")).filter("trusted")
-    rows = docs.select(F.col(ID).cast("long").alias(ID), "text").join(trusted, ID, "left")
+    rows = docs.select(F.col(ID).cast("long").alias(ID), "text").join(trusted.hint("merge"), ID, "left")  # one plan at every size: nothing here has a bound that would let it be broadcast
     words = _fixed(rows, w=_endings(_words(F.coalesce("text", F.lit(""))))).select("w", "trusted")
     grams = words.select(F.explode(_grams(F.col("w"))).alias("bucket"), "trusted")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()  # at most BUCKETS rows

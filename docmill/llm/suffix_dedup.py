@@ -338,23 +338,26 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
         arrays = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        arrays += batch.columns[3:]
+        names += batch.schema.names[3:]
         if texts:
             arrays += [pa.array(columns[4], pa.string()), pa.array(columns[5], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
             names += ["kept_text", "spans"]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def dedup_substrings(documents: DataFrame, hot_strings: int = HOT_STRINGS, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text and spans (start, end in bytes) of every document.
+def dedup_substrings(documents: DataFrame, hot_strings: int = HOT_STRINGS, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns to carry along and, with texts, kept_text and spans (start, end in bytes).
 
     A null text is empty. Rows that repeat a doc_id are one document (its greatest text); a row with a null doc_id matches nothing and keeps its
     bytes. Documents under 100 bytes lose nothing. kept_text leaves out characters that a removed run has cut through. Other columns are ignored.
     """
-    docs = unique_rows(documents, ID, "text")
+    docs = unique_rows(documents, ID, "text", *carry)
     spans = repeated_spans(docs, hot_strings).groupBy(ID).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    lone = keyless_rows(documents, ID, "text").withColumn("spans", F.lit(None).cast("array<struct<at:long,n:int>>"))
-    rows = docs.join(spans, ID, "left").select(ID, "text", "spans").unionByName(lone)
+    lone = keyless_rows(documents, ID, "text", *carry).withColumn("spans", F.lit(None).cast("array<struct<at:long,n:int>>"))
+    rows = docs.join(spans, ID, "left").select(ID, "text", "spans", *carry).unionByName(lone.select(ID, "text", "spans", *carry))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema += "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     if texts:
         schema += ", kept_text string, spans array<struct<start:long,end:long>>"
     return rows.mapInArrow(partial(_kept, texts=texts), schema)
