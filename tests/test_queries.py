@@ -9,7 +9,7 @@ import pytest
 from docmill.operators import documents, media, tasks  # noqa: F401
 from docmill.registry import REGISTRY, query
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
