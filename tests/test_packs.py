@@ -8,7 +8,7 @@ from docmill.operators import chunks, packs
 
 
 def sources(spark):
-    text = "# Title\n\nOne. Two `assets/x` [l](assets/a.png)\n\n| a | b |\n| 1 | 2 |\n\n```\n[k](assets/k)\n```\n"
+    text = "# Title\n\nOne. Two `assets/x` [l](assets/a)\n\n| a | b |\n| 1 | 2 |\n\n```\n[k](assets/k)\n```\n"
     return spark.createDataFrame([(1, 1, "a.md", text), (1, 2, "b.md", "word " * 3000), (2, 1, "c.md", None)], "pack_job long, source_order long, display_name string, content string")
 
 
@@ -29,7 +29,7 @@ def test_pack_round_trip(spark, tmp_path):
     pages = spark.read.parquet(str(tmp_path / "p/packs")).filter("pack_job = 1").orderBy("pack").collect()
     assert len(pages) == pages[0].n_packs > 3 and not any(p.over_budget for p in pages)
     assert pages[0].content.startswith(f"# Context Pack 1 of {len(pages)}\n\nEstimated tokens: ~{pages[0].estimated_tokens}\n")
-    assert "[l](../sources/source-001/assets/a.png)" in pages[0].content and "`assets/x`" in pages[0].content and "[k](assets/k)" in pages[0].content
+    assert "[l](../sources/source-001/assets/a)" in pages[0].content and "`assets/x`" in pages[0].content and "[k](assets/k)" in pages[0].content
     with pytest.raises(PySparkException):
         packs.write_context_pack(blocks, 1000, str(tmp_path / "p"))
     p = spark.read.parquet(str(tmp_path / "p/packs"))

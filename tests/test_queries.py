@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docmill.operators import blocks, chunks, documents, media, packs, tasks  # noqa: F401
+from docmill.operators import blocks, chunks, documents, media, packs, rules, tasks  # noqa: F401
 from docmill.registry import REGISTRY, query
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
