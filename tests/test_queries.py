@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docmill.operators import blocks, chunks, documents, media, packs, rules, tasks  # noqa: F401
+from docmill.operators import blocks, chunks, documents, media, naming, packs, rules, tasks  # noqa: F401
 from docmill.registry import REGISTRY, query
+from docmill.sources import convert  # noqa: F401
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
