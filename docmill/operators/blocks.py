@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ FRAGMENT = 800  # tokens of a stable fragment
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})(.*)$")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*$")
 _ASSET = re.compile(r"^\s*!?\[[^\]]*\]\(assets/[^)]*\)\s*$")
+_CJK = regex.compile(r"[㐀-鿿豈-﫿]")
+_WORD = regex.compile(r"[\p{L}\p{N}_][\p{L}\p{N}_'-]*")
+_MARK = regex.compile(r"[^\p{L}\p{N}_\s\x1c-\x1f]")
 _SENTENCE = re.compile(r"(?<=[。！？.!?])\s*")
 
 
@@ -154,15 +158,32 @@ def rebase_assets(text: str, base: str) -> str:
 BLOCK = "doc_id long, block_no int, content string, start_line int, end_line int, atomic boolean, heading_context array<string>, tokens long"
 
 
+FLUSH_ROWS, FLUSH_CHARS = 4096, 4_000_000  # of an outgoing batch
+
+
 def _parsed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in BLOCK.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
+    rows: list[tuple] = []
+    size = 0
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [(piece, a, b, atomic, above) for content, a, b, atomic, above in parse(text or "") for piece in ([content] if atomic else split_oversized(content, limit))]
-            full = [(doc, k + 1, *row, tokens(row[0])) for k, row in enumerate(rows)]
-            if full:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*full, strict=True), kinds, strict=True)], names=names)
+            number = 0
+            for content, first, last, atomic, above in parse(text or ""):
+                for piece in [content] if atomic else split_oversized(content, limit):
+                    number += 1
+                    rows.append((doc, number, piece, first, last, atomic, above, tokens(piece)))
+                    size += len(piece)
+            if len(rows) >= FLUSH_ROWS or size >= FLUSH_CHARS:
+                yield batch_of()
+                rows.clear()
+                size = 0
+    if rows:
+        yield batch_of()
 
 
 def structural_blocks(docs: DataFrame, limit: int = FRAGMENT) -> DataFrame:

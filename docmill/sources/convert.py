@@ -286,6 +286,12 @@ def converter(suffix: str, convert: Converter) -> None:
 
 
 def _convert(batches: Iterator[pa.RecordBatch], converters: dict[str, Converter]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple[str | None, str | None, str | None, str | None]] = []
+    size = 0
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "markdown", "error_code", "error"])
+
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             suffix = posixpath.splitext(path or "")[1].lower()
@@ -297,7 +303,14 @@ def _convert(batches: Iterator[pa.RecordBatch], converters: dict[str, Converter]
                     text = converters[suffix](content or b"")
                 except Exception as e:  # one file must not fail the job: what is wrong with it is its row
                     code, error = "conversion_failed", f"{type(e).__name__}: {e}"
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (path, text, code, error)], names=["path", "markdown", "error_code", "error"])
+            rows.append((path, text, code, error))
+            size += len(text or "")
+            if len(rows) >= 1024 or size >= 4_000_000:
+                yield batch_of()
+                rows.clear()
+                size = 0
+    if rows:
+        yield batch_of()
 
 
 def to_markdown(files: DataFrame) -> DataFrame:
