@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docmill.functions.text import TOKEN_SQL, line_form, private_path, redact, token_estimate
+from docmill.plans.next_fit import numbered, place
 from docmill.registry import query, table
 
 SOFT_TARGET = 0.95
@@ -180,29 +177,19 @@ def tables(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("block_ids", "SELECT doc_id, source, format('{}-block-{:04d}', source, row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS block_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def block_ids(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", "source", F.concat(F.col("source"), F.format_string("-block-%04d", n)).alias("block_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    """Ids by the dense number of a block within its source; sources are numbered in spans, so none meets in one task."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("source", F.lit(_NO_SOURCE)).alias("job"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("major"), F.lit(0).alias("minor"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    return numbered(docs).select("doc_id", "source", F.concat(F.col("source"), F.format_string("-block-%04d", F.col("n") + 1)).alias("block_id"), "sha256")
 
 
-def _next_fit(frames: Iterator[pd.DataFrame], target: float) -> Iterator[pd.DataFrame]:
-    job, used, pack = None, 0, 0
-    for frame in frames:
-        packs = []
-        for j, t in zip(frame["source"], frame["tokens"], strict=True):
-            if j != job:
-                job, used, pack = j, 0, 1
-            elif used and used + t > target:
-                used, pack = 0, pack + 1
-            used += t
-            packs.append(pack)
-        yield frame.assign(pack=packs)
+_NO_SOURCE, _NO_ID = "\0", -(1 << 62)  # stand for null, which would not join
 
 
 def next_fit(blocks: DataFrame, budget: int) -> DataFrame:
-    """doc_id, source, tokens, pack: blocks of a job in order, a new pack where the soft target would be passed. The fold keeps two numbers, so a job may
-    be as long as it likes: its rows stream by in order."""
-    schema = "doc_id long, source string, tokens long, pack long"
-    return blocks.select("doc_id", "source", "tokens").repartition("source").sortWithinPartitions("source", "doc_id").mapInPandas(partial(_next_fit, target=int(budget * SOFT_TARGET)), schema)
+    """doc_id, source, tokens, pack: blocks of a job in order, a new pack where the soft target would be passed. A source may hold any share of the rows."""
+    rows = blocks.select(F.coalesce("source", F.lit(_NO_SOURCE)).alias("job"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("major"), F.col("tokens").alias("minor"), F.col("tokens").alias("full"), F.col("tokens").alias("rest"))
+    placed = place(rows, int(budget * SOFT_TARGET))
+    return placed.select(F.nullif("major", F.lit(_NO_ID)).alias("doc_id"), F.nullif("job", F.lit(_NO_SOURCE)).alias("source"), F.col("minor").alias("tokens"), "pack")
 
 
 _PACK_SQL = f"""

@@ -1,22 +1,19 @@
 """Context packs: blocks rendered below their source's heading, next-fit packing on rendered costs, pack texts, integrity, writing and reading back.
 
-A block is (pack_job, source_id, source_order, display_name, block_order, content, atomic, labels). Only the fold over costs runs in order, on five narrow
-columns that stream by with three numbers of state, so a job may be as long as it likes; texts are joined back by block and meet per pack, which the budget
-bounds (an atomic block that alone passes the budget makes a pack of its own).
+A block is (pack_job, source_id, source_order, display_name, block_order, content, atomic, labels), all but the content not null. Packing goes over costs alone,
+in parallel within a job (plans.next_fit), so a job may hold any share of the rows; texts are joined back by block and meet per pack, which the budget bounds
+(an atomic block that alone passes the budget makes a pack of its own).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import partial
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docmill.functions.text import TOKEN_SQL, token_estimate
 from docmill.operators.blocks import structural_blocks
+from docmill.plans.next_fit import place
 from docmill.registry import query, table
 
 SOFT_TARGET = 0.95
@@ -58,33 +55,18 @@ def render(header: Column) -> Column:
     return F.concat(title, note, link_assets(F.col("content"), F.concat(F.lit("../sources/"), F.col("source_id"), F.lit("/assets/"))))
 
 
-def _fold(frames: Iterator[pd.DataFrame], target: int) -> Iterator[pd.DataFrame]:
-    job = source = None
-    used, pack = 0, 1
-    for frame in frames:
-        packs, heads = [], []
-        for j, s, full, plain in zip(frame["pack_job"], frame["source_order"], frame["full"], frame["plain"], strict=True):
-            if j != job:
-                job, source, used, pack = j, None, 0, 1
-            head = s != source
-            cost = full if head else plain
-            if used and used + cost > target:
-                pack, used, head, cost = pack + 1, 0, True, full
-            used, source = used + cost, s
-            packs.append(pack)
-            heads.append(head)
-        yield frame[KEY].assign(pack=packs, head=heads)
-
-
 def assign(blocks: DataFrame, budget: int | None) -> DataFrame:
     """pack_job, source_order, block_order, pack, head for each block; without a budget a job is one pack."""
     target = check_budget(budget)
     if target is None:
         first = F.lag("source_order").over(Window.partitionBy("pack_job", "source_order").orderBy("block_order")).isNull()
         return blocks.select(*KEY, F.lit(1).cast("long").alias("pack"), first.alias("head"))
-    costs = blocks.select(*KEY, token_estimate(render(F.lit(True))).alias("full"), token_estimate(render(F.lit(False))).alias("plain"))
-    schema = "pack_job long, source_order long, block_order long, pack long, head boolean"
-    return costs.repartition("pack_job").sortWithinPartitions(*KEY).mapInPandas(partial(_fold, target=target), schema)
+    first = F.col("block_order") == F.min("block_order").over(Window.partitionBy("pack_job", "source_order"))
+    costs = blocks.select(*KEY, token_estimate(render(F.lit(True))).alias("full"), token_estimate(render(F.lit(False))).alias("plain")).withColumn("first", first)
+    rows = costs.select(F.col("pack_job").cast("string").alias("job"), F.col("source_order").alias("major"), F.col("block_order").alias("minor"), "full", F.when(F.col("first"), F.col("full")).otherwise(F.col("plain")).alias("rest"))
+    placed = place(rows, target)
+    opens = F.col("starts") | (F.col("minor") == F.min("minor").over(Window.partitionBy("job", "major")))
+    return placed.select(F.col("job").cast("long").alias("pack_job"), F.col("major").alias("source_order"), F.col("minor").alias("block_order"), "pack", opens.alias("head"))
 
 
 def packs(blocks: DataFrame, placed: DataFrame, budget: int | None) -> DataFrame:
