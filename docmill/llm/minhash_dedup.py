@@ -2,7 +2,8 @@
 
 A document's signature has 128 coordinates, minima of as many hash functions over its shingle set. It is posted under (coordinate, value). Two sets with
 a Jaccard similarity of 0.85 agree in 109 coordinates on average, and in fewer than the match threshold of 88 about once in a million pairs. A pair
-with 88 agreeing coordinates agrees in one of the first 41 (128 - 88 + 1), so only those are posted: the prefix. Within a list, collisions are counted
+with 88 agreeing coordinates agrees in one of the first 41 (128 - 88 + 1), so only those are posted: the prefix. Threshold and prefix follow from the
+least similarity, always with that error: 79 and 50 for a similarity of 0.8. Within a list, collisions are counted
 on whole signatures, and lists of the same documents are merged once. A list yields no pairs but a spanning forest of its matches: a document that
 is already tied is skipped in the counting. The trees of all lists together give clusters, which no true link leaves. Each cluster then settles its
 links exactly, on the full sets of 64-bit shingle hashes, again as a traversal that compares what is reached with what is not.
@@ -13,6 +14,7 @@ larger; clusters beyond CLUSTER_CAP shingles are compared block against block in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,14 +28,29 @@ from docmill.llm._common import ID, keyless_rows, mix64, ranges, runs, stored, u
 from docmill.llm._components import components
 
 COORDINATES = 128
-MATCHES = 88  # of them, for a pair to be retained
-PREFIX = COORDINATES - MATCHES + 1
+MISSED = 1.1e-6  # share of links at the least similarity that may have fewer matches than the threshold
 WORDS = 3  # of a shingle
 PERCENT = 85  # least similarity
 LIST_CAP = 50_000  # documents of a list whose collisions are counted
 CLUSTER_CAP = 8_000_000  # shingles of a cluster that one task settles (64 MB)
 SLICE = 2 << 20
 
+
+def matches_for(percent: int) -> int:
+    """The match threshold: the most coordinates that all but MISSED of the pairs with this similarity agree in."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be above 0 and at most 100, not {percent}")
+    p, fewer, k = percent / 100, 0.0, 0
+    while k < COORDINATES and (fewer := fewer + math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) <= MISSED:
+        k += 1
+    if not k:
+        raise ValueError(f"{COORDINATES} coordinates are too few for a similarity of {percent} per cent")
+    return k
+
+
+MATCHES = matches_for(PERCENT)  # for a pair to be retained; of so many, one is in the prefix
+PREFIX = COORDINATES - MATCHES + 1
+
 _FACTORS = (mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -90,23 +107,23 @@ def _binary(rows: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int, prefix: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in _slices(batch.column(1)):
             s, off = shingle_sets(texts, words)
             n = np.diff(off)
             full = n > 0
             both = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
-            keys = np.zeros((len(n), PREFIX), np.int64)
+            keys = np.zeros((len(n), prefix), np.int64)
             marks = np.zeros((len(n), COORDINATES), np.uint8)
             if full.any():
                 for k, salt in enumerate((1, 2)):
                     both[k][full] = np.add.reduceat(mix64(s * np.uint64(salt) + _A), off[:-1][full])
                 rows = signatures(s, off)
-                keys[full] = rows[:, :PREFIX].astype(np.int64) | (np.arange(PREFIX, dtype=np.int64) << 32)
+                keys[full] = rows[:, :prefix].astype(np.int64) | (np.arange(prefix, dtype=np.int64) << 32)
                 marks[full] = (rows >> np.uint32(24)) ^ (rows & np.uint32(255))
             arrays = [batch.column(0).slice(first, len(n)), pa.array(n), pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64))]
-            arrays += [pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * PREFIX, keys.ravel()), _binary(marks, np.arange(len(n) + 1) * COORDINATES)]
+            arrays += [pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * prefix, keys.ravel()), _binary(marks, np.arange(len(n) + 1) * COORDINATES)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "h1", "h2", "keys", "marks"])
 
 
@@ -141,11 +158,11 @@ def matching_forest(marks: np.ndarray, least: int = MATCHES) -> list[tuple[int,
     return edges
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forests(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches):
         doc = table.column("doc_id").to_numpy()
         marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(len(doc), COORDINATES)
-        edges = np.array(matching_forest(marks), np.int64).reshape(-1, 2)
+        edges = np.array(matching_forest(marks, least), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(doc[edges[:, 0]]), pa.array(doc[edges[:, 1]])], names=["a", "b"])
 
 
@@ -228,11 +245,13 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
 
     ASCII letters are lower-cased and words end at ASCII white space. A document with fewer words than a shingle has its whole sequence as the one
     shingle; one without words or with a null text has none and is linked with nothing. Rows that repeat a doc_id are one document (its greatest text); a
-    row with a null doc_id is linked with nothing: component_id null, kept true. Other columns are ignored. percent must not be below 85, for which
-    the match threshold is laid out.
+    row with a null doc_id is linked with nothing: component_id null, kept true. Other columns are ignored. Match threshold and
+    prefix are derived from percent; one that 128 coordinates can't cover is refused.
     """
+    least = matches_for(percent)
+    sign = partial(_signed, words=words, prefix=COORDINATES - least + 1)
     docs = unique_rows(documents, ID, "text")
-    signed = stored(docs.mapInArrow(partial(_signed, words=words), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, marks binary"), "signed")
+    signed = stored(docs.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, marks binary"), "signed")
     full = signed.filter("n_shingles > 0")
     same = full.groupBy("h1", "h2", "n_shingles").agg(F.min(ID).alias("rep"))
     reps = full.join(same.select(F.col("rep").alias(ID)), ID, "left_semi")
@@ -242,7 +261,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     rows = stored(posted.join(lists, "key"), "postings")
     members = rows.filter(F.col("n") <= list_cap).groupBy("m1", "m2", ID).agg(F.first("n").alias("n"))  # equal lists are one
     listed = members.select(F.expr("xxhash64(m1, m2)").alias("list"), ID).join(reps.select(ID, "marks"), ID).select("list", ID, "marks")
-    edges = listed.repartition("list").sortWithinPartitions("list").mapInArrow(_forests, "a long, b long")
+    edges = listed.repartition("list").sortWithinPartitions("list").mapInArrow(partial(_forests, least=least), "a long, b long")
     edges = edges.unionByName(rows.filter(F.col("n") > list_cap).select(F.col("hub").alias("a"), F.col(ID).alias("b")))
     clusters = stored(components(edges).join(full.select(F.col(ID).alias("node"), "n_shingles"), "node"), "clusters")
     texts = clusters.select("component", F.col("node").alias(ID)).join(docs, ID).select("component", ID, "text")
@@ -262,7 +281,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     rep_of = full.select(ID, "h1", "h2", "n_shingles").join(same, ["h1", "h2", "n_shingles"]).select(ID, "rep")
     linked = rep_of.join(ties.withColumnRenamed("a", "rep"), "rep", "left").select(ID, F.coalesce("b", "rep").alias("component_id"))
     out = signed.select(ID, "n_shingles").join(linked, ID, "left").withColumn("component_id", F.coalesce("component_id", ID))
-    lone = keyless_rows(documents, ID, "text").mapInArrow(partial(_signed, words=words), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, marks binary")
+    lone = keyless_rows(documents, ID, "text").mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, marks binary")
     lone = lone.select(ID, "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(lone).withColumn("kept", F.coalesce(F.col(ID) == F.col("component_id"), F.lit(True)))
 

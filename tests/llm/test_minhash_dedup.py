@@ -61,6 +61,29 @@ def test_equals_brute_force(spark, seed, caps):
     assert result(M.near_duplicates(df, **caps)) == brute(rows)
 
 
+def test_equals_brute_force_at_80(spark):
+    r = random.Random(5)
+    rows, n = [], 0
+    for _ in range(40):  # one word replaced in n: similarities from 0.7 to 0.95
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randint(60, 260))]
+        for k in range(r.randint(2, 7)):
+            w = list(base)
+            for at in r.sample(range(len(w)), k * len(w) // 110):
+                w[at] = f"x{r.randrange(10**6)}"
+            rows.append((n := n + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows, 5, 80)
+    assert want != brute(rows, 5, 85)
+    assert result(M.near_duplicates(df, words=5, percent=80)) == want
+
+
+def test_threshold_follows_the_percent(spark):
+    assert (M.matches_for(85), M.matches_for(80), M.matches_for(100)) == (88, 79, 128)
+    for percent in (0, 5, 101):
+        with pytest.raises(ValueError):
+            M.near_duplicates(spark.range(0).selectExpr("id AS doc_id", "'' AS text"), percent=percent)
+
+
 def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, None)], "doc_id long, text string")
     assert result(M.near_duplicates(df)) == {None: (2, None, True), 1: (2, 1, True), 2: (2, 1, False), 3: (0, 3, True)}

@@ -46,3 +46,12 @@ def test_missing_ids_pass(spark):
     docs = spark.createDataFrame([(None, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (2, text, "en", "s", 1), (3, None, None, None, None)], schema)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [(False, 1), (False, 3), (True, 0)]
     assert corpus_pipeline.substring_dedup(spark, docs, "").filter("doc_id is null or doc_id = 1").count() == 2
+
+
+def test_near_copies_from_80_per_cent_are_dropped(spark):
+    """20 of the 196 windows of five words differ: Jaccard 176 / 216 = 0.815."""
+    words = [f"w{i}" for i in range(200)]
+    copy = [f"x{i}" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
+    assert near_brute([tuple(r) for r in docs.collect()], 5, 80)[2][1] == 1 and near_brute([tuple(r) for r in docs.collect()], 5)[2][1] == 2
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "", percent=80).collect()] == [1]
