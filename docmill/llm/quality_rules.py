@@ -2,8 +2,15 @@
 
 An n-gram is the ending (last two characters) of a word, or the endings of two neighbouring words: endings are few and so well counted in small corpora too,
 where whole words are mostly met once. N-grams fall into BUCKETS hash buckets. Two multinomials over the buckets are counted: one over all documents, one over
-those that the labels table trusts (quality 1, not toxic). A text's score is the mean over its n-grams of log(target share / raw share); a text that
-passes the base rules is kept if the score reaches THRESHOLD. DataFrame functions only, and every document is counted and scored.
+those that the labels table trusts (quality 1, not toxic). A text's score is the mean over its n-grams of log(target share / raw share).
+
+Whole words are counted and scored beside the endings: runs of letters and digits, and runs of other characters, so that symbols count wherever they stand
+in a word. Their buckets are WORD_BUCKETS and word_score is the same mean, with WORD_PRIOR n-grams of the raw corpus added to the target: a word that the
+target lacks costs as much whether it is rare or not. Its threshold comes from the trusted documents: each is scored by the counts of the other half
+of them, and the score that all but one in a thousand reach is the least allowed.
+
+A text that passes the base rules is kept if score reaches THRESHOLD and word_score its own. DataFrame functions only, and every document is counted and
+scored.
 """
 
 from __future__ import annotations
@@ -13,12 +20,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm._common import ID
+from docmill.llm._common import ID, stored
 
 BUCKETS = 1 << 14
 ENDING = 2  # characters of a word that an n-gram looks at
 SMOOTHING = 1.0  # added to each bucket's count
 THRESHOLD = -1.5  # clean text scores above -1.1, symbol-ridden and shouted text below -2
+WORD_BUCKETS = 1 << 16
+WORD_PRIOR = 1000.0
+WORD_UNIT = 1000  # a log-ratio of words is kept in thousandths
+LEAST_TRUSTED = 20  # trusted texts of LEAST_WORDS words; from fewer no threshold of words is set
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 
@@ -70,39 +81,76 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """The log-ratio of each bucket. Without trusted documents all are 0. labels: doc_id, quality, toxic; a document is trusted if no row objects."""
-    trusted = labels.groupBy(F.col(ID).cast("long").alias(ID)).agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted")).filter("trusted")
-    rows = docs.select(F.col(ID).cast("long").alias(ID), "text").join(trusted.hint("merge"), ID, "left")  # one plan at every size: nothing here has a bound that would let it be broadcast
-    words = _fixed(rows, w=_endings(_words(F.coalesce("text", F.lit(""))))).select("w", "trusted")
-    grams = words.select(F.explode(_grams(F.col("w"))).alias("bucket"), "trusted")
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()  # at most BUCKETS rows
-    raw = sum(r.raw for r in counts) + SMOOTHING * BUCKETS
-    target = sum(r.target for r in counts) + SMOOTHING * BUCKETS
-    ratio = [0.0] * BUCKETS
-    if any(r.target for r in counts):
-        ratio = [math.log(raw / target)] * BUCKETS
-        for r in counts:
-            ratio[r.bucket] = math.log((r.target + SMOOTHING) / target) - math.log((r.raw + SMOOTHING) / raw)
-    return ratio
-
-
-def judge(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """measure() with score (null without words) and kept; each row by itself."""
-    table = F.split(F.lit(",".join(map(repr, ratio))), ",").cast("array<double>")  # folded into one literal
-    df = _fixed(measure(docs), _words=_endings(F.col("_words")))
+def _word_buckets(text: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"), F.lit(0))
+    return F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))
+
+
+def _table(values: list, kind: str) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")  # folded into one literal
+
+
+def _word_ratio(target: list[int], raw: list[int]) -> list[int]:
+    """The log-ratio of each bucket, in WORD_UNIT."""
+    n, m = sum(target), sum(raw) + WORD_BUCKETS
+    return [round(WORD_UNIT * math.log((t * m / (r + 1) + WORD_PRIOR) / (n + WORD_PRIOR))) for t, r in zip(target, raw, strict=True)]
+
+
+def _word_score(buckets: Column, ratio: Column) -> Column:
+    total = F.aggregate(buckets, F.lit(0).cast("long"), lambda a, b: a + F.get(ratio, b))
+    return F.when(F.size(buckets) > 0, total / (F.size(buckets) * F.lit(float(WORD_UNIT))))
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[int], float | None]:
+    """The log-ratios of the buckets of endings and of words, and the threshold of words. Without trusted documents the ratios are 0 and the threshold is
+    None. labels: doc_id, quality, toxic; a document is trusted if no row objects."""
+    trusted = labels.groupBy(F.col(ID).cast("long").alias(ID)).agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted")).filter("trusted").select(ID)
+    t = F.coalesce("text", F.lit(""))
+    both = lambda df: df.select(F.explode(F.concat("e", F.transform("w", lambda b: b + BUCKETS))).alias("bucket"), *[c for c in df.columns if c == "fold"])
+    grams = lambda df, *more: _fixed(_fixed(df, _e=_endings(_words(t)), w=_word_buckets(t)), e=_grams(F.col("_e"))).select("e", "w", *more)
+    raw = [0] * (BUCKETS + WORD_BUCKETS)
+    folds = [list(raw), list(raw)]
+    for r in both(grams(docs.select("text"))).groupBy("bucket").agg(F.count("*").alias("n")).collect():  # at most BUCKETS + WORD_BUCKETS rows
+        raw[r.bucket] = r.n
+    known = docs.select(F.col(ID).cast("long").alias(ID), "text").join(trusted.hint("merge"), ID)  # one plan at every size: nothing here has a bound that would let it be broadcast
+    fold = F.pmod(F.xxhash64(ID), F.lit(2)).cast("int").alias("fold")
+    known = stored(grams(known, F.size("_e").alias("n_words"), fold), "trusted-grams")
+    for r in both(known).groupBy("bucket", "fold").agg(F.count("*").alias("n")).collect():
+        folds[r.fold][r.bucket] = r.n
+    target = [a + b for a, b in zip(*folds, strict=True)]
+    if not any(target):
+        return [0.0] * BUCKETS, [0] * WORD_BUCKETS, None
+    m, n = sum(raw[:BUCKETS]) + SMOOTHING * BUCKETS, sum(target[:BUCKETS]) + SMOOTHING * BUCKETS
+    ratio = [math.log((a + SMOOTHING) / n) - math.log((b + SMOOTHING) / m) for a, b in zip(target[:BUCKETS], raw[:BUCKETS], strict=True)]
+    of_other = [_table(_word_ratio(folds[1 - k][BUCKETS:], raw[BUCKETS:]), "int") for k in (0, 1)]
+    held_out = known.filter(F.col("n_words") >= LEAST_WORDS).select(_word_score(F.col("w"), F.when(F.col("fold") == 0, of_other[0]).otherwise(of_other[1])).alias("s"))
+    at = held_out.agg(F.count("s").alias("n"), F.percentile_approx("s", 0.001, 10_000).alias("least")).first()
+    least = at.least if at.n >= LEAST_TRUSTED else None
+    return ratio, _word_ratio(target[BUCKETS:], raw[BUCKETS:]), least
+
+
+def judge(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, word_ratio: list[int] | None = None, word_threshold: float | None = None) -> DataFrame:
+    """measure() with score and word_score (null without words) and kept; each row by itself. Without word_ratio word_score is null and rejects nothing."""
+    table = _table(ratio, "double")
+    words = _word_buckets(F.coalesce("text", F.lit(""))) if word_ratio else F.array().cast("array<int>")
+    df = _fixed(measure(docs), _words=_endings(F.col("_words")), _whole=words)
     df = _fixed(df, _grams=_grams(F.col("_words")))
     total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    df = _fixed(df, score=F.when(F.size("_grams") > 0, total / F.size("_grams")))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold)).drop("_words", "_grams")
+    by_word = _word_score(F.col("_whole"), _table(word_ratio, "int")) if word_ratio else F.lit(None).cast("double")
+    df = _fixed(df, score=F.when(F.size("_grams") > 0, total / F.size("_grams")), word_score=by_word)
+    good = F.coalesce("score", F.lit(0.0)) >= threshold
+    if word_threshold is not None:
+        good &= F.coalesce("word_score", F.lit(0.0)) >= word_threshold
+    return df.withColumn("kept", ~F.col("base_failed") & good).drop("_words", "_whole", "_grams")
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
+    """documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, word_score and kept.
 
     A row is judged by its text alone, so rows with a null or repeated doc_id are rows like any other; columns of these names are replaced.
     """
-    return judge(documents, learn(documents, labels), threshold)
+    ratio, word_ratio, word_threshold = learn(documents, labels)
+    return judge(documents, ratio, threshold, word_ratio, word_threshold)
 
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -111,4 +159,4 @@ RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10_quality_rules: every document of the table."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality_rules(docs.select(ID, "text"), labels).select(ID, *RESULT, "score")
+    return quality_rules(docs.select(ID, "text"), labels).select(ID, *RESULT, "score", "word_score")

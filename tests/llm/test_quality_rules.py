@@ -85,3 +85,34 @@ def test_labelled_junk_is_rejected_and_clean_text_kept(spark):
     got = Q.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed").collect()
     right = sum(r.kept == (r.quality == 1) for r in got)
     assert right >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("move", [r"\2\1", None], ids=["before", "inside"])
+def test_symbols_are_seen_wherever_they_stand(spark, move):
+    """The labelled junk again, its symbols moved from the end of the words to their front or middle: rejected all the same, and clean text stays."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    moved = lambda w: re.sub(r"^(.+?)([#*$%&]{3})$", move or (lambda m: m[1][: len(m[1]) // 2] + m[2] + m[1][len(m[1]) // 2 :]), w)
+    rows, odd = [], set()
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        w = (r.text or "").split()
+        if quality.get(r.doc_id) == 0 and len(w) >= 50 and 2 * sum(moved(x) != x for x in w) > len(w):
+            odd.add(r.doc_id)
+            rows.append((r.doc_id, " ".join(map(moved, w))))
+        else:
+            rows.append((r.doc_id, r.text))
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), labels).filter("not base_failed").collect()}
+    assert len(odd & set(got)) > 10 and not any(got[i].kept for i in odd & set(got))
+    clean = [r.kept for i, r in got.items() if quality.get(i) == 1]
+    assert sum(clean) >= 0.98 * len(clean)
+
+
+def test_foreign_words_with_ordinary_endings(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    clean = [t for i, t in rows if i in {r.doc_id for r in labels.filter("quality = 1 and toxic = 0").collect()} and len(t.split()) >= 50][:10]
+    alien = [(10**6 + k, " ".join(w[:-2][::-1] + w[-2:] if len(w) > 3 else "q" + w for w in t.split())) for k, t in enumerate(clean)]
+    got = Q.quality_rules(spark.createDataFrame(rows + alien, "doc_id long, text string"), labels).filter("doc_id >= 1000000 and not base_failed").collect()
+    assert got and not any(r.kept for r in got)
