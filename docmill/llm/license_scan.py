@@ -1,12 +1,15 @@
 """License scans by sentence rules: normalised sentences are looked up among known licence sentences, and the ids in a row are matched with ordered rules.
 
 A rule is a sequence of sentence ids; it matches where its ids stand in a document's known sentences one after the other (sentences that are not known may
-stand between). A rule whose place lies within that of a longer one is not reported. DataFrame functions only; a row needs no other row, so there is no
+stand between). A line feed within a sentence is white space: of the lines up to a sentence's end, the longest run that is a known sentence is taken, and lines
+before it are looked up one by one. Blank lines (also of comment marks) and sentence ends part sentences. A rule whose place lies within that of a longer one is not reported. DataFrame functions only; a row needs no other row, so there is no
 shuffle and nothing grows with the corpus but the scan.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +71,38 @@ RULES = [
     ("proprietary", ("rights-reserved",), False),
 ]
 
-_BREAK = r"[.!?:;]+(?:\s+|$)|\n+"
+#: Sentences of wordings that have a colon, semicolon or full stop inside, as a sentence's end cuts them.
+CUT_SENTENCES = {
+    "free-software": "this program is free software",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-later": "either version 2 of the license or at your option any later version",
+    "gpl3-later": "either version 3 of the license or at your option any later version",
+    "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "no-warranty": "without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl-version": "this source code form is subject to the terms of the mozilla public license v",
+}
+CUT_RULES = [
+    ("GPL-2.0-or-later", ("gpl2-terms",), False),
+    ("GPL-2.0-or-later", ("gpl-terms", "gpl2-later"), False),
+    ("GPL-3.0-or-later", ("gpl3-terms",), False),
+    ("GPL-3.0-or-later", ("gpl-terms", "gpl3-later"), False),
+    ("MPL-2.0", ("mpl-version",), False),
+]
+
+_BREAK = r"[.!?:;]+(?:\s+|$)|\n(?:[^A-Za-z0-9\n]*\n)+"
+LONGEST = max(len(s.split()) for s in (SENTENCES | CUT_SENTENCES).values())  # words, and so lines: every line between breaks has one
+
+
+def _hint() -> str:
+    """Words one of which stands in every known sentence, those of most sentences first."""
+    left, words = list((SENTENCES | CUT_SENTENCES).values()), []
+    while left:
+        count = Counter(w for s in left for w in set(s.split()))
+        words.append(max(count, key=lambda w: (len(w) > 4, count[w], len(w), w)))
+        left = [s for s in left if words[-1] not in s.split()]
+    return "|".join(words)
 
 
 def normal(sentence: Column) -> Column:
@@ -82,10 +116,16 @@ def _codes() -> dict[str, str]:
 
 def sentence_ids(text: Column) -> Column:
     """The known sentences of a text, in order, as two-digit codes each with a comma behind it: '00,04,'."""
-    table = F.create_map(*[F.lit(x) for s, code in _codes().items() for x in (SENTENCES[s], code)])
-    hint = "licen|copyright|permission|software|redistribution|rights reserved|name of|liable|cc0|source code"
-    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda s: F.lower(s).rlike(hint))
-    return F.array_join(F.transform(F.filter(F.transform(sentences, lambda s: F.get(F.array(F.element_at(table, normal(s))), F.lit(0))), lambda c: c.isNotNull()), lambda c: F.concat(c, F.lit(","))), "")
+    known = {sentence: f"{k:02d}" for k, sentence in enumerate((*SENTENCES.values(), *CUT_SENTENCES.values()))}
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    code = lambda s: F.get(F.array(F.element_at(table, normal(s))), F.lit(0))
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda s: F.lower(s).rlike(_hint()))
+    lines = F.transform(pieces, lambda s: F.split(s, "\n"))
+    runs = lambda x: F.sequence(F.greatest(F.size(x) - LONGEST, F.lit(0)), F.size(x) - 1)
+    ends = lambda x: F.transform(runs(x), lambda i: F.struct(i.alias("i"), code(F.array_join(F.slice(x, i + 1, F.size(x)), " ")).alias("code")))
+    last = F.transform(lines, lambda x: F.struct(x.alias("x"), F.get(F.filter(ends(x), lambda e: e.code.isNotNull()), F.lit(0)).alias("e")))
+    codes = F.transform(last, lambda p: F.concat(F.transform(F.slice(p.x, 1, F.coalesce(p.e.i, F.size(p.x))), code), F.array(p.e.code)))
+    return F.array_join(F.transform(F.array_compact(F.flatten(codes)), lambda c: F.concat(c, F.lit(","))), "")
 
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -94,8 +134,8 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     reusable: whether all that was found permits reuse; null if nothing was found. A null or empty text has none. Rows are judged one by one, so null or
     repeated ids do not matter; columns of these names are replaced.
     """
-    code = _codes()
-    rules = sorted(RULES, key=lambda r: -len(r[1]))
+    code = {s: f"{k:02d}" for k, s in enumerate((*SENTENCES, *CUT_SENTENCES))}
+    rules = sorted(RULES + CUT_RULES, key=lambda r: -len(r[1]))
     # A generator of one row: a projection could be merged with each of the tests below, and the text be split for each.
     df = documents.select(*[c for c in documents.columns if c != "_rest"], F.inline(F.array(F.struct(sentence_ids(F.col(text)).alias("_rest")))))
     df = df.withColumn("n_license_sentences", F.coalesce(F.length("_rest") / 3, F.lit(0)).cast("long"))
@@ -119,7 +159,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, for texts whose sentences are neither wrapped nor among CUT_SENTENCES."""
     code = _codes()
     known = ", ".join(f"('{SENTENCES[s]}', '{c}')" for s, c in code.items())
     rules = sorted(RULES, key=lambda r: -len(r[1]))

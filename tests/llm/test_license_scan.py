@@ -1,6 +1,7 @@
 """op6 on hand-made texts and against its DuckDB twin."""
 
 import re
+import textwrap
 
 import duckdb
 
@@ -43,3 +44,42 @@ def test_equals_sql_and_runs_no_python(spark):
     want = sorted(con.sql(L.oracle()).fetchall())
     assert sorted(map(tuple, df.collect())) == want
     assert sum(r[3] for r in want) > 10
+
+
+GPL = """    {0}
+    This program is free software{1} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{2} either version {3} of the License, or (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+NAME = "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def wrapped(text, mark=""):
+    return "\n".join(textwrap.fill(p, 78, initial_indent=mark, subsequent_indent=mark) if p.strip() else mark for p in text.split("\n"))
+
+
+def test_real_texts_as_they_are_wrapped(spark):
+    texts = {
+        "MIT": (MIT, 4),
+        "GPL-2.0-or-later": (GPL.format("A program.", ";", ";", 2), 5),
+        "GPL-3.0-or-later": (GPL.format("A program", ":", ",", 3), 4),
+        "MPL-2.0": (MPL, 1),
+        "BSD-2-Clause": (BSD, 3),
+        "BSD-3-Clause": (BSD + NAME, 4),
+    }
+    marks = ["", "# ", " * ", "    "]
+    rows = [(k * 10 + m, wrapped(text, mark)) for k, (text, _) in enumerate(texts.values()) for m, mark in enumerate(marks)]
+    rows += [(k * 10 + 9, text) for k, (text, _) in enumerate(texts.values())]
+    got = {r.doc_id: (r.licenses, r.n_license_sentences) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (list(texts)[i // 10], list(texts.values())[i // 10][1]) for i, _ in rows}
+
+
+def test_hint_misses_no_sentence():
+    assert all(re.search(L._hint(), s) for s in (L.SENTENCES | L.CUT_SENTENCES).values())
