@@ -4,7 +4,7 @@ A page is a sequence of words and tags. Words score positive and tags negative,
 the main text. The weights are learned from labelled pages, here those that mark their main text themselves with an article or main element: a tag's
 weight is the logarithm of how often it stands inside against outside, at most a small negative number. The labelled pages also say which containers
 (nav, footer, div of a class, ...) hold no main text; words in those score negative, and those within the region are left out of the text. Containers
-that the labelled pages don't show are judged by a short list of names.
+that the labelled pages don't show are judged by a short list of names; a div or section without class, id and role says nothing either way.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ class Weights:
         self.aside: dict[str, bool] = {}
         for key in of("in"):
             a, b = seen("in", key)
-            if a + b >= LEAST_SEEN and key.split(".")[0] not in ("article", "main", "div", "section"):
+            if a + b >= LEAST_SEEN and key.split(".")[0] not in ("article", "main") and key not in ("div", "section"):
                 self.aside[key] = a < MOST_INSIDE * (a + b)
 
     def is_aside(self, key: str, within: tuple[str, ...]) -> bool:

@@ -65,3 +65,14 @@ def test_nulls_and_repeats(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in H.extract_main_text(df).collect())
     assert got == [(0, "u", "kept", 4), (1, None, "", 0), (2, "u", "b", 1)]
     assert H.extract_main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["discussion", "replies", "adsbygoogle", "usercomments"])
+def test_labelled_pages_judge_divs_of_a_class(spark, name):
+    """Reader comments behind the article in a div or section whose name is not in the list; a bare div and one inside the article stay text."""
+    body = "<div><p>" + "word " * 120 + f"</p></div><div class='lead'>{'more ' * 60}</div>"
+    page = lambda tag: f"<article>{body}</article><{tag} class='{name}'>{'reader ' * 80}</{tag}>"
+    assert name not in H.ASIDE_NAMES
+    df = spark.createDataFrame([(k, "u", page(("div", "section")[k % 2])) for k in range(6)], "page_id long, url string, html string")
+    got = [r.text.split() for r in H.extract_main_text(df).collect()]
+    assert got == [["word"] * 120 + ["more"] * 60] * 6
