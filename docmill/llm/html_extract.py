@@ -14,9 +14,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from functools import partial
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,6 @@ LEAST_SEEN = 50  # words that a container needs on labelled pages to be judged b
 MOST_INSIDE = 0.02  # of its words; a container with a smaller share inside holds no main text
 TAG_COST, TAG_FLOOR = -0.05, -3.0  # the greatest and the least weight of a tag
 ASIDE_COST = -1.0  # of a word in a container without main text
-MOST_KEYS = 10_000  # different tags that are learned, the commonest first: bounds the model
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)|(?P<text>[^<]+|<)""",
@@ -178,7 +179,9 @@ def main_text(page: str, weights: Weights) -> str:
     return "\n".join(b for b in (" ".join(entities.unescape(b).split()) for b in blocks) if b)
 
 
-def _extracted(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
+def _extracted(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    weights = copy(shared.value)
+    weights.aside = dict(weights.aside)  # verdicts by name are added to it
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             part = batch.slice(k, 200)
@@ -187,10 +190,12 @@ def _extracted(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[
 
 
 def learn_weights(pages: DataFrame) -> Weights:
-    """Counts over all labelled pages; the commonest MOST_KEYS tags and containers come to the driver."""
-    counts = pages.select("html").mapInArrow(_counted, "kind string, key string, inside boolean, n long").groupBy("kind", "key", "inside").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "kind", "key", "inside").limit(MOST_KEYS).collect()
-    return Weights([tuple(r) for r in rows])
+    """Counts over all labelled pages, both sides of a key in one row. Every tag comes to the driver, and every container that has the LEAST_SEEN words
+    to be judged by: the model grows with the different keys of the pages, and Python workers get it as a broadcast file."""
+    counts = pages.select("html").mapInArrow(_counted, "kind string, key string, inside boolean, n long")
+    sides = counts.groupBy("kind", "key").agg(*[F.coalesce(F.sum(F.when(F.col("inside") == side, F.col("n"))), F.lit(0)).alias(c) for c, side in (("a", True), ("b", False))])
+    rows = sides.filter((F.col("kind") == "tag") | ((F.col("kind") == "in") & (F.col("a") + F.col("b") >= LEAST_SEEN))).toArrow()
+    return Weights([(kind, key, side, n) for kind, key, a, b in zip(*(c.to_pylist() for c in rows.columns), strict=True) for side, n in ((True, a), (False, b))])
 
 
 def extract_main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
@@ -201,7 +206,7 @@ def extract_main_text(pages: DataFrame, weights: Weights | None = None) -> DataF
     """
     rows = unique_rows(pages, "page_id", "html", "url").unionByName(keyless_rows(pages, "page_id", "html", "url"))
     weights = weights or learn_weights(rows)
-    return rows.select("page_id", "url", "html").mapInArrow(partial(_extracted, weights=weights), "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html").mapInArrow(partial(_extracted, shared=rows.sparkSession.sparkContext.broadcast(weights)), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_labelled_pages_judge_divs_of_a_class(spark, name):
     df = spark.createDataFrame([(k, "u", page(("div", "section")[k % 2])) for k in range(6)], "page_id long, url string, html string")
     got = [r.text.split() for r in H.extract_main_text(df).collect()]
     assert got == [["word"] * 120 + ["more"] * 60] * 6
+
+
+def test_every_key_is_learned(spark):
+    """12,000 classes, each with 60 words outside the article and 2 inside: none is cut off, and none loses a side."""
+    outside = "".join(f"<div class='k{k}'>{'out ' * 60}</div>" for k in range(12_000))
+    inside = "".join(f"<div class='k{k}'>in in</div>" for k in range(12_000))
+    df = spark.createDataFrame([(1, f"<article>{inside}</article>{outside}")], "page_id long, html string")
+    weights = H.learn_weights(df)
+    assert all(weights.aside[f"div.k{k}"] is False for k in range(12_000))
+    assert sum(key.startswith("div.k") for key in weights.tag) == 12_000
