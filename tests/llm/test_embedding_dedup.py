@@ -78,3 +78,41 @@ def test_odd_tables(spark):
     assert got == {None: (0, None, True), 1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True)}
     assert E.near_vectors(df.limit(0)).collect() == []
     assert [r.n_links for r in E.near_vectors(df.filter("vec_id = 3")).collect()] == [0]
+
+
+def brute_by_length(rows):
+    out = {}
+    for d in {len(v or ()) for _, v, _ in rows}:
+        out |= brute([r for r in rows if len(r[1] or ()) == d])
+    return out
+
+
+def test_every_length_is_compared_with_its_own(spark):
+    rows = [(i, v, lab) for i, v, lab in vectors(3)]
+    rows += [(1000 + i, v[:3], lab) for i, v, lab in vectors(4)[:60] if v and len(v) == 16 and None not in v]
+    rows += [(2000, [2.0], 1), (2001, [7.0], 1), (2002, [-1.0], 1), (2003, [-3.0], 1), (2004, [0.0], 1), (2005, [5.0], 2), (2006, [1.0, 1.0], 1), (2007, [2.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df).collect()}
+    assert got == brute_by_length(rows)
+    assert got[2000] == (1, 2000, True) and got[2003] == (1, 2002, False) and got[2007] == (1, 2006, False)
+
+
+@pytest.mark.parametrize("block", [E.BLOCK, 50])
+def test_ties_at_the_least_cosine_and_a_fitted_grid(spark, block, monkeypatch):
+    """Vectors of small whole numbers: many cosines lie close to 0.93 and on both sides of it, so codes leave them open; and an index with several words."""
+    monkeypatch.setattr(E, "LEAST_FITTED", 50)
+    monkeypatch.setattr(E, "PER_CELL", 2)
+    r = np.random.default_rng(5)
+    rows = [(int(k), [float(x) for x in r.integers(-3, 4, 4)], int(k % 2)) for k in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").repartition(3)
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in E.near_vectors(df, target=1.0, block=block).collect()}
+    want = brute(rows)
+    links = [sum(n for n, _, _ in x.values()) for x in (got, want)]
+    assert 0.999 * links[1] <= links[0] <= links[1] and sum(got[i] != want[i] for i in want) <= 7
+
+
+def test_codes_know_their_error():
+    x = E._unit(np.random.default_rng(6).standard_normal((400, 24)) ** 3)
+    codes, scale, rest = E.coded(x)
+    dot, error = E.decoded(codes, scale) @ E.decoded(codes, scale).T, rest[:, None] + rest[None, :] + 3 * rest[:, None] * rest[None, :]
+    assert (np.abs(dot - x @ x.T) <= error).all()
