@@ -1,56 +1,58 @@
 """Quality rules: base rules on every text, and a hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
-An n-gram is the ending (last two characters) of a word, or the endings of two neighbouring words: endings are few and so well counted in small corpora too,
-where whole words are mostly met once. N-grams fall into BUCKETS hash buckets. Two multinomials over the buckets are counted: one over all documents, one over
-those that the labels table trusts (quality 1, not toxic). A text's score is the mean over its n-grams of log(target share / raw share).
-
-Whole words are counted and scored beside the endings: runs of letters and digits, and runs of other characters, so that symbols count wherever they stand
-in a word. Their buckets are WORD_BUCKETS and word_score is the same mean, with WORD_PRIOR n-grams of the raw corpus added to the target: a word that the
-target lacks costs as much whether it is rare or not. Its threshold comes from the trusted documents: each is scored by the counts of the other half
-of them, and the score that all but one in a thousand reach is the least allowed.
-
-A text that passes the base rules is kept if score reaches THRESHOLD and word_score its own. DataFrame functions only, and every document is counted and
-scored.
+An n-gram is a token or a pair of neighbouring tokens; tokens are runs of letters, marks and digits, and runs of other characters but white space, so that
+symbols count wherever they stand in a word. Tokens fall into BUCKETS hash buckets and pairs, by the buckets of both, into as many of their own. Two multinomials over the
+buckets are counted: one over all documents, one over those that the labels table trusts (quality 1, not toxic). A text's score is the mean over its
+tokens, so normalised by length, of log(target share / raw share), and its pair_score that over its pairs. To the target PRIOR n-grams of the raw corpus
+are added: an n-gram that the target lacks costs as much whether it is rare or not.
+
+Rare tokens share buckets with others, and fewer are rare in larger corpora, so no threshold fits every corpus. Both come from the trusted documents:
+each is scored by the counts of the other half of them, and the scores that all but one in a thousand reach are the least allowed. A text that passes
+the base rules is kept if it reaches both.
+
+A text is read once: its measures and the buckets of its tokens are stored, and counting and scoring work on those. DataFrame functions only, and every
+document is counted and scored.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm._common import ID, stored
 
-BUCKETS = 1 << 14
-ENDING = 2  # characters of a word that an n-gram looks at
-SMOOTHING = 1.0  # added to each bucket's count
-THRESHOLD = -1.5  # clean text scores above -1.1, symbol-ridden and shouted text below -2
-WORD_BUCKETS = 1 << 16
-WORD_PRIOR = 1000.0
-WORD_UNIT = 1000  # a log-ratio of words is kept in thousandths
-LEAST_TRUSTED = 20  # trusted texts of LEAST_WORDS words; from fewer no threshold of words is set
+BUCKETS = 1 << 16
+PRIOR = 1000.0
+UNIT = 1000  # a log-ratio is kept in thousandths
+LEAST_TRUSTED = 20  # trusted texts of LEAST_WORDS words; from fewer no threshold is set
+BELOW = 0.001  # share of the trusted texts that may score below the threshold
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 
 SPACE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]"
+_TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 
 
-def _words(text: Column) -> Column:
-    bare = F.btrim(text, F.lit(SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACES + "+"))
+@dataclass(frozen=True)
+class Model:
+    """The log-ratio of each bucket, in UNIT, of tokens and of pairs, and the least score of either (None: nothing is rejected)."""
 
+    tokens: list[int]
+    pairs: list[int]
+    least: tuple[float, float] | None
 
-def _endings(words: Column) -> Column:
-    return F.transform(words, lambda w: F.substring(w, -ENDING, ENDING))
 
+NO_MODEL = Model([0] * BUCKETS, [0] * BUCKETS, None)
 
-def _grams(words: Column) -> Column:
-    """The buckets of all endings and of all pairs of neighbours."""
-    bucket = lambda *w: F.pmod(F.xxhash64(*w), F.lit(BUCKETS)).cast("int")
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: bucket(F.get(words, i), w))
-    return F.concat(F.transform(words, lambda w: bucket(w)), pairs)
+
+def _words(text: Column) -> Column:
+    bare = F.btrim(text, F.lit(SPACE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _SPACES + "+"))
 
 
 def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -60,103 +62,128 @@ def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (and _words). A null text has no words.
+def _tokens(text: Column) -> Column:
+    """The buckets of the tokens, less BUCKETS / 2 so that two bytes hold one."""
+    found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    return F.transform(found, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) - BUCKETS // 2).cast("smallint"))
+
+
+def _pairs(tokens: Column) -> Column:
+    """The buckets of all pairs of neighbours, as _tokens gives them."""
+    later = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.transform(later, lambda b, i: (F.pmod(F.xxhash64(F.get(tokens, i), b), F.lit(BUCKETS)) - BUCKETS // 2).cast("smallint"))
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+SCORES = ("score", "pair_score")
+
+
+def measured(docs: DataFrame, *columns: str) -> DataFrame:
+    """c0, c1, ... (the named columns of docs; renamed, so that none clashes), id, MEASURES and tokens (buckets). A null text has no words.
 
     Three-word windows are told apart by 64-bit hashes; only texts where two hashes are equal are sorted.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    df = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col(ID).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    t = F.col("t")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = _fixed(docs, _words=_words(t), _lines=lines, n_symbols=F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"))
-    w = F.col("_words")
+    df = _fixed(df, words=_words(t), lines=lines, n_symbols=F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"), tokens=_tokens(t)).drop("t")
+    w = F.col("words")
     windows = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
-    repeated = (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
-    df = _fixed(df, _windows=windows, n_dup_lines=repeated, n_words=F.size("_words").cast("long"), word_chars=F.length(F.array_join("_words", "")).cast("long")).drop("_lines")
-    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = _fixed(df, _sorted=F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs)).drop("_windows")
-    z = F.col("_sorted")
+    repeated = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")
+    df = _fixed(df, windows=windows, n_dup_lines=repeated, n_words=F.size("words").cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long")).drop("words", "lines")
+    pairs = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = _fixed(df, sorted=F.when(F.size(F.array_distinct("windows")) < F.size("windows"), pairs)).drop("windows")
+    z = F.col("sorted")
     again = lambda e, k: (F.coalesce(F.get(z, k - 1).h == e.h, F.lit(False))) | (F.coalesce(F.get(z, k + 1).h == e.h, F.lit(False)))
     places = F.transform(F.filter(z, again), lambda e: F.array(e.i, e.i + 1, e.i + 2))
-    df = _fixed(df, n_repeat_words=F.when(z.isNull(), 0).otherwise(F.size(F.array_distinct(F.flatten(places)))).cast("long")).drop("_sorted")
+    df = _fixed(df, n_repeat_words=F.when(z.isNull(), 0).otherwise(F.size(F.array_distinct(F.flatten(places)))).cast("long")).drop("sorted")
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def _word_buckets(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"), F.lit(0))
-    return F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)).cast("int"))
+def _table(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # folded into one literal
+
+
+def _ratio(target: list[int], raw: list[int]) -> list[int]:
+    """The log-ratio of each bucket of one multinomial, in UNIT."""
+    n, m = sum(target), sum(raw) + BUCKETS
+    return [round(UNIT * math.log((t * m / (r + 1) + PRIOR) / (n + PRIOR))) for t, r in zip(target, raw, strict=True)]
 
 
-def _table(values: list, kind: str) -> Column:
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")  # folded into one literal
+def _score(grams: Column, table: Column) -> Column:
+    """The mean log-ratio of n-grams; null without any."""
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b + BUCKETS // 2))
+    return F.when(F.size(grams) > 0, total / (F.size(grams) * F.lit(float(UNIT))))
 
 
-def _word_ratio(target: list[int], raw: list[int]) -> list[int]:
-    """The log-ratio of each bucket, in WORD_UNIT."""
-    n, m = sum(target), sum(raw) + WORD_BUCKETS
-    return [round(WORD_UNIT * math.log((t * m / (r + 1) + WORD_PRIOR) / (n + WORD_PRIOR))) for t, r in zip(target, raw, strict=True)]
+def _scored(df: DataFrame, tokens: Column, pairs: Column) -> DataFrame:
+    """df with score and pair_score by these tables of log-ratios, without the tokens."""
+    df = _fixed(df, pairs=_pairs(F.col("tokens")))
+    return _fixed(df, score=_score(F.col("tokens"), tokens), pair_score=_score(F.col("pairs"), pairs)).drop("tokens", "pairs")
 
 
-def _word_score(buckets: Column, ratio: Column) -> Column:
-    total = F.aggregate(buckets, F.lit(0).cast("long"), lambda a, b: a + F.get(ratio, b))
-    return F.when(F.size(buckets) > 0, total / (F.size(buckets) * F.lit(float(WORD_UNIT))))
+def _counted(df: DataFrame, *by: str) -> DataFrame:
+    """bucket, n of tokens (from 0) and pairs (from BUCKETS): at most 2 * BUCKETS rows for each value of by."""
+    of = lambda grams, at: df.select(*by, F.explode(grams).alias("b")).groupBy(*by, "b").agg(F.count("*").alias("n")).withColumn("b", F.col("b") + at)
+    return of(F.col("tokens"), BUCKETS // 2).unionByName(of(_pairs(F.col("tokens")), BUCKETS + BUCKETS // 2))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[float], list[int], float | None]:
-    """The log-ratios of the buckets of endings and of words, and the threshold of words. Without trusted documents the ratios are 0 and the threshold is
-    None. labels: doc_id, quality, toxic; a document is trusted if no row objects."""
-    trusted = labels.groupBy(F.col(ID).cast("long").alias(ID)).agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("trusted")).filter("trusted").select(ID)
-    t = F.coalesce("text", F.lit(""))
-    both = lambda df: df.select(F.explode(F.concat("e", F.transform("w", lambda b: b + BUCKETS))).alias("bucket"), *[c for c in df.columns if c == "fold"])
-    grams = lambda df, *more: _fixed(_fixed(df, _e=_endings(_words(t)), w=_word_buckets(t)), e=_grams(F.col("_e"))).select("e", "w", *more)
-    raw = [0] * (BUCKETS + WORD_BUCKETS)
+def learn(texts: DataFrame, labels: DataFrame) -> Model:
+    """The model for rows of measured(). labels: doc_id, quality, toxic; a document is trusted if no row objects. Without trusted ones all ratios are 0."""
+    good = (F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
+    trusted = labels.groupBy(F.col(ID).cast("long").alias("id")).agg(good.alias("good")).filter("good").select("id")
+    raw = [0] * (2 * BUCKETS)
     folds = [list(raw), list(raw)]
-    for r in both(grams(docs.select("text"))).groupBy("bucket").agg(F.count("*").alias("n")).collect():  # at most BUCKETS + WORD_BUCKETS rows
-        raw[r.bucket] = r.n
-    known = docs.select(F.col(ID).cast("long").alias(ID), "text").join(trusted.hint("merge"), ID)  # one plan at every size: nothing here has a bound that would let it be broadcast
-    fold = F.pmod(F.xxhash64(ID), F.lit(2)).cast("int").alias("fold")
-    known = stored(grams(known, F.size("_e").alias("n_words"), fold), "trusted-grams")
-    for r in both(known).groupBy("bucket", "fold").agg(F.count("*").alias("n")).collect():
-        folds[r.fold][r.bucket] = r.n
+    for r in _counted(texts.select("tokens")).collect():
+        raw[r.b] = r.n
+    # one plan at every size: nothing here has a bound that would let it be broadcast
+    known = texts.select("id", "tokens", "n_words").join(trusted.hint("merge"), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
+    known = stored(known, "trusted-tokens")
+    for r in _counted(known, "fold").collect():
+        folds[r.fold][r.b] = r.n
     target = [a + b for a, b in zip(*folds, strict=True)]
     if not any(target):
-        return [0.0] * BUCKETS, [0] * WORD_BUCKETS, None
-    m, n = sum(raw[:BUCKETS]) + SMOOTHING * BUCKETS, sum(target[:BUCKETS]) + SMOOTHING * BUCKETS
-    ratio = [math.log((a + SMOOTHING) / n) - math.log((b + SMOOTHING) / m) for a, b in zip(target[:BUCKETS], raw[:BUCKETS], strict=True)]
-    of_other = [_table(_word_ratio(folds[1 - k][BUCKETS:], raw[BUCKETS:]), "int") for k in (0, 1)]
-    held_out = known.filter(F.col("n_words") >= LEAST_WORDS).select(_word_score(F.col("w"), F.when(F.col("fold") == 0, of_other[0]).otherwise(of_other[1])).alias("s"))
-    at = held_out.agg(F.count("s").alias("n"), F.percentile_approx("s", 0.001, 10_000).alias("least")).first()
-    least = at.least if at.n >= LEAST_TRUSTED else None
-    return ratio, _word_ratio(target[BUCKETS:], raw[BUCKETS:]), least
-
-
-def judge(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD, word_ratio: list[int] | None = None, word_threshold: float | None = None) -> DataFrame:
-    """measure() with score and word_score (null without words) and kept; each row by itself. Without word_ratio word_score is null and rejects nothing."""
-    table = _table(ratio, "double")
-    words = _word_buckets(F.coalesce("text", F.lit(""))) if word_ratio else F.array().cast("array<int>")
-    df = _fixed(measure(docs), _words=_endings(F.col("_words")), _whole=words)
-    df = _fixed(df, _grams=_grams(F.col("_words")))
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get(table, b))
-    by_word = _word_score(F.col("_whole"), _table(word_ratio, "int")) if word_ratio else F.lit(None).cast("double")
-    df = _fixed(df, score=F.when(F.size("_grams") > 0, total / F.size("_grams")), word_score=by_word)
-    good = F.coalesce("score", F.lit(0.0)) >= threshold
-    if word_threshold is not None:
-        good &= F.coalesce("word_score", F.lit(0.0)) >= word_threshold
-    return df.withColumn("kept", ~F.col("base_failed") & good).drop("_words", "_whole", "_grams")
-
-
-def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, word_score and kept.
-
-    A row is judged by its text alone, so rows with a null or repeated doc_id are rows like any other; columns of these names are replaced.
-    """
-    ratio, word_ratio, word_threshold = learn(documents, labels)
-    return judge(documents, ratio, threshold, word_ratio, word_threshold)
+        return NO_MODEL
+    order = lambda counts, k: counts[k * BUCKETS : (k + 1) * BUCKETS]
+    ratios = lambda counts: [_ratio(order(counts, k), order(raw, k)) for k in (0, 1)]
+    of_other = [F.when(F.col("fold") == 0, _table(a)).otherwise(_table(b)) for a, b in zip(ratios(folds[1]), ratios(folds[0]), strict=True)]
+    held_out = _scored(known.filter(F.col("n_words") >= LEAST_WORDS), *of_other)
+    least = lambda c: F.percentile_approx(c, BELOW, 10_000).alias(c)
+    at = held_out.agg(F.count("pair_score").alias("n"), least("score"), least("pair_score")).first()
+    return Model(*ratios(target), (at.score, at.pair_score) if at.n >= LEAST_TRUSTED else None)
+
+
+def judge(texts: DataFrame, model: Model) -> DataFrame:
+    """Rows of measured() with score (null without words), pair_score (null without two tokens) and kept in place of the tokens; each row by itself."""
+    df = _scored(texts, _table(model.tokens), _table(model.pairs))
+    reached = [F.coalesce(c, F.lit(0.0)) >= least for c, least in zip(SCORES, model.least or (), strict=False)]
+    return df.withColumn("kept", reduce(Column.__and__, reached, ~F.col("base_failed")))
 
 
-RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+def judged(documents: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """c0, c1, ... (the named columns of documents), MEASURES, SCORES and kept of every row."""
+    texts = stored(measured(documents, *columns), "measured")
+    return judge(texts, learn(texts, labels)).drop("id")
+
+
+def kept_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of documents that are kept, with their own columns only, whatever their names."""
+    kept = judged(documents, labels, *documents.columns).filter("kept")
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(documents.columns)])
+
+
+def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, pair_score and kept.
+
+    A row is judged by its text alone, so rows with a null or repeated doc_id are rows like any other; columns of these names are replaced, and
+    all others stay, whatever their names.
+    """
+    own = [c for c in documents.columns if c.lower() not in (*MEASURES, *SCORES, "kept")]
+    rows = judged(documents, labels, *own)
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], *MEASURES, *SCORES, "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10_quality_rules: every document of the table."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return quality_rules(docs.select(ID, "text"), labels).select(ID, *RESULT, "score", "word_score")
+    return judged(docs, labels, ID).select(F.col("c0").alias(ID), *MEASURES, "kept", *SCORES)
