@@ -26,7 +26,7 @@ def test_stages(spark):
         if k == 1:
             assert len(rows) == len(before)
         if k == 2:
-            assert set(rows) == {i for i, (_, _, kept) in near_brute(list(before.items()), 5).items() if kept} and len(rows) < len(before)
+            assert set(rows) == {i for i, (_, _, kept) in near_brute(list(before.items()), 5, 80).items() if kept} and len(rows) < len(before)
         if k == 3:
             want = repeat_brute(list(before.items()))
             assert {i: len(before[i].encode()) - want[i][1] for i in rows} == pytest.approx({i: len(r.text.encode()) for i, r in rows.items()}, abs=8)
@@ -54,4 +54,44 @@ def test_near_copies_from_80_per_cent_are_dropped(spark):
     copy = [f"x{i}" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy))], "doc_id long, text string")
     assert near_brute([tuple(r) for r in docs.collect()], 5, 80)[2][1] == 1 and near_brute([tuple(r) for r in docs.collect()], 5)[2][1] == 2
-    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "", percent=80).collect()] == [1]
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+CLASHES = ["n_bytes", "kept_text", "spans", "_text", "kept", "score", "n_words", "lang_pred", "held_out", "component_id", "n_shingles", "row", "tokens", "id", "carried", "c", "c0", "no_text", "r", "a.b"]
+
+
+def clashing(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES)
+    return spark.createDataFrame([(*r, *range(len(CLASHES))) for r in rows], schema)
+
+
+def test_columns_of_any_name_pass_every_stage_unchanged(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    docs = clashing(spark, rows)
+    for _name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == k for r in got for k, c in enumerate(CLASHES))
+    assert corpus_pipeline.best_fit(spark, docs, d).select("doc_id").distinct().count() == len({r[0] for r in rows})
+
+
+def test_empty_tables(spark):
+    d = "/root/testdata/sf0.001"
+    docs = clashing(spark, []).drop(*CLASHES)
+    for _name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, d).collect() == []
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte, one a copy of another but for its end, pass the stages whole."""
+    d = "/root/testdata/sf0.001"
+    good = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en' and n_chars > 400").collect()}
+    long = "".join(f"{t} part{k} " for k in range(40) for t in list(good.values())[k % 3 :: 3])[:1_000_000]
+    docs = spark.createDataFrame([(1, long, "en", "s", 1), (2, long + " the end", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.text for r in corpus_pipeline.near_dedup(spark, docs, d).collect()] == [long]
+    got = {r.doc_id: r for r in corpus_pipeline.substring_dedup(spark, docs, d).collect()}
+    want = repeat_brute([(1, long), (2, long + " the end")])
+    assert {i: len(r.text.encode()) for i, r in got.items()} == pytest.approx({i: len(t.encode()) - want[i][1] for i, t in ((1, long), (2, long + " the end"))}, abs=8)
+    assert sum(r.length for r in corpus_pipeline.best_fit(spark, docs, d).collect()) > 200_000
