@@ -65,21 +65,64 @@ def wrapped(text, mark=""):
     return "\n".join(textwrap.fill(p, 78, initial_indent=mark, subsequent_indent=mark) if p.strip() else mark for p in text.split("\n"))
 
 
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Lesser General Public License for more details."""
+AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+TEXTS = {
+    "MIT": (MIT, 4),
+    "GPL-2.0-or-later": (GPL.format("A program.", ";", ";", 2), 5),
+    "GPL-3.0-or-later": (GPL.format("A program", ":", ",", 3), 4),
+    "MPL-2.0": (MPL, 1),
+    "BSD-2-Clause": (BSD, 3),
+    "BSD-3-Clause": (BSD + NAME, 4),
+    "LGPL-2.1-or-later": (LGPL, 4),
+    "AGPL-3.0-or-later": (AGPL, 2),
+    "Apache-2.0": (APACHE, 4),
+    "EPL-2.0": (EPL, 3),
+    "BSL-1.0": (BOOST, 1),
+    "Zlib": (ZLIB, 2),
+    "ISC": ("x.c\n\nSPDX-License-Identifier: ISC\n\ncode", 2),
+}
+MARKS = ["", "# ", " * ", "    "]
+
+
+def real_texts():
+    rows = [(k * 10 + m, wrapped(text, mark)) for k, (text, _) in enumerate(TEXTS.values()) for m, mark in enumerate(MARKS)]
+    return rows + [(k * 10 + 9, text) for k, (text, _) in enumerate(TEXTS.values())]
+
+
 def test_real_texts_as_they_are_wrapped(spark):
-    texts = {
-        "MIT": (MIT, 4),
-        "GPL-2.0-or-later": (GPL.format("A program.", ";", ";", 2), 5),
-        "GPL-3.0-or-later": (GPL.format("A program", ":", ",", 3), 4),
-        "MPL-2.0": (MPL, 1),
-        "BSD-2-Clause": (BSD, 3),
-        "BSD-3-Clause": (BSD + NAME, 4),
-    }
-    marks = ["", "# ", " * ", "    "]
-    rows = [(k * 10 + m, wrapped(text, mark)) for k, (text, _) in enumerate(texts.values()) for m, mark in enumerate(marks)]
-    rows += [(k * 10 + 9, text) for k, (text, _) in enumerate(texts.values())]
-    got = {r.doc_id: (r.licenses, r.n_license_sentences) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: (list(texts)[i // 10], list(texts.values())[i // 10][1]) for i, _ in rows}
+    got = {r.doc_id: (r.licenses, r.n_license_sentences) for r in L.scan(spark.createDataFrame(real_texts(), "doc_id long, text string")).collect()}
+    assert got == {i: (list(TEXTS)[i // 10], list(TEXTS.values())[i // 10][1]) for i, _ in real_texts()}
+
+
+def test_real_texts_give_the_same_in_sql(spark):
+    every = real_texts() + [(1000 + k, v.upper()) for k, v in enumerate(L.SENTENCES.values())] + [(2000, None), (2001, ""), (2002, "a\x0b\n\n\nMIT\x0b"), (2003, "\u0130 \u212a mit.\u2028MIT.\n")]
+    docs = spark.createDataFrame(every, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = L.scan(docs).select("doc_id", "n_license_sentences", "licenses", "n_licenses", "reusable")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(L.oracle()).fetchall())
+
+
+def test_each_sentence_is_found_alone_and_no_two_are_equal(spark):
+    docs = spark.createDataFrame(list(enumerate(L.SENTENCES.values())), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in docs.select("doc_id", L.sentence_ids(docs.text).alias("ids")).collect()}
+    assert got == {k: f"{k:02d}," for k in range(len(L.SENTENCES))} and len(L.SENTENCES) < 100
 
 
 def test_hint_misses_no_sentence():
-    assert all(re.search(L._hint(), s) for s in (L.SENTENCES | L.CUT_SENTENCES).values())
+    assert all(re.search(L._hint(), s) for s in L.SENTENCES.values())
