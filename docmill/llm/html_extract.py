@@ -14,7 +14,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from copy import copy
 from functools import partial
 
 import pyarrow as pa
@@ -131,19 +130,22 @@ class Weights:
         all_in, all_out = sum(a for a, _ in tags.values()) + 1, sum(b for _, b in tags.values()) + 1
         self.tag = {key: max(TAG_FLOOR, min(TAG_COST, math.log((a + 0.5) / all_in) - math.log((b + 0.5) / all_out))) for key, (a, b) in tags.items()}
         self.aside: dict[str, bool] = {}
+        self.by_name: dict[tuple[str, bool], bool] = {}  # verdicts by name that have been asked for
         for key in of("in"):
             a, b = seen("in", key)
             if a + b >= LEAST_SEEN and key.split(".")[0] not in ("article", "main") and key not in ("div", "section"):
                 self.aside[key] = a < MOST_INSIDE * (a + b)
 
     def is_aside(self, key: str, within: tuple[str, ...]) -> bool:
-        """Whether a container holds no main text."""
-        if key not in self.aside:
+        """Whether a container holds no main text: by what was learned of it, or else by its names and, of a header, by whether it is an article's own."""
+        learned = self.aside.get(key)
+        if learned is not None:
+            return learned
+        at = (key, any(k.split(".")[0] in ("article", "main") for k in within))
+        if at not in self.by_name:
             tag, _, names = key.partition(".")
-            named = bool(ASIDE_NAMES & set(_NAME.findall(names)))
-            page_header = tag == "header" and not any(k.split(".")[0] in ("article", "main") for k in within)
-            self.aside[key] = tag in ASIDE_TAGS or named or (page_header and tag == "header")
-        return self.aside[key]
+            self.by_name[at] = tag in ASIDE_TAGS or bool(ASIDE_NAMES & set(_NAME.findall(names))) or (tag == "header" and not at[1])
+        return self.by_name[at]
 
 
 def main_text(page: str, weights: Weights) -> str:
@@ -180,8 +182,7 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    weights = copy(shared.value)
-    weights.aside = dict(weights.aside)  # verdicts by name are added to it
+    weights = shared.value
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             part = batch.slice(k, 200)

@@ -86,3 +86,15 @@ def test_every_key_is_learned(spark):
     weights = H.learn_weights(df)
     assert all(weights.aside[f"div.k{k}"] is False for k in range(12_000))
     assert sum(key.startswith("div.k") for key in weights.tag) == 12_000
+
+
+def test_a_page_does_not_depend_on_those_before_it(spark):
+    """A header of the site and a header within the article, in either order and in any partitioning."""
+    words = " ".join(f"word{i}" for i in range(80))
+    own = f"<body><article><header><h1>My Title Here</h1></header><p>{words}</p></article></body>"
+    site = f"<body><header>The Site</header><article><p>{words}</p></article></body>"
+    rows = [(k, "u", (own, site)[k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    of = lambda n, order: {r.page_id: r.text for r in H.extract_main_text(df.repartition(n).sortWithinPartitions(order), H.Weights()).collect()}
+    want = {k: words if k % 2 else f"My Title Here\n{words}" for k in range(60)}
+    assert of(1, "page_id") == of(50, "page_id") == of(3, "html") == want
