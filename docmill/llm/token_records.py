@@ -1,8 +1,9 @@
 """Token-ID output: length-delimited binary records with masked checksums, and a separate offset index for shuffled reads.
 
 A record: payload length (u64), masked CRC-32 of those eight bytes (u32), payload, masked CRC-32 of the payload (u32), one line feed; all numbers
-little-endian. The payload: doc_id (i64), width of an id in bytes (u8: 2 or 4), ids. Files hold records in ascending doc_id, and the files' ranges of
-doc_id follow each other. Spark's own text writer writes the frames as they are (a frame is a row, the line feed its separator), so commits, retries
+little-endian. The payload: doc_id (i64), width of an id in bytes (u8: 2 or 4; 128 more if the document has no doc_id), ids. Files hold records in
+ascending doc_id, those without one first, and the files' ranges of doc_id follow each other. A file has at most FILE_BYTES, or one record: records without payload, which
+readers pass over, fill a file up to the number of rows at which the writer begins the next. Spark's own text writer writes the frames as they are (a frame is a row, the line feed its separator), so commits, retries
 and stores are Spark's: nothing is written outside its commit protocol, and any file system that Spark writes can hold the files.
 
 The index is a Parquet table beside them, built from the files: doc_id, file, offset, length, n_tokens, ids_crc32.
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.llm._common import ID, new_path, unique_rows
+from docmill.llm._common import ID, keyless_rows, new_path, unique_rows
 from docmill.llm._tokens import tokenizer_path, word_coder
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1  # appended to each document
-RECORDS_PER_FILE = 4096  # a file is read as one value, so it is kept far below 2 GB
+RECORDS_PER_FILE = 4096
+FILE_BYTES = 1 << 26  # a file is read as one value, so it is kept far below 2 GB
+NO_ID = 128
 
 INDEX = "doc_id long, file string, offset long, length long, n_tokens long, ids_crc32 long"
 _HEAD = struct.Struct("<QI")
@@ -37,14 +40,19 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray, width: int) -> bytes:
+def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
     """A record without its line feed."""
-    payload = struct.pack("<qB", doc_id, width) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
+    payload = struct.pack("<qB", doc_id or 0, width | (NO_ID if doc_id is None else 0)) + ids.astype("<u2" if width == 2 else "<u4").tobytes()
     length = struct.pack("<Q", len(payload))
     return length + struct.pack("<I", masked(zlib.crc32(length))) + payload + struct.pack("<I", masked(zlib.crc32(payload)))
 
 
-def parse(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def filling() -> bytes:
+    """A record without payload, and without its line feed."""
+    return struct.pack("<QII", 0, masked(zlib.crc32(bytes(8))), masked(0))
+
+
+def parse(data: bytes) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
     """(doc_id, offset, length of the frame, ids) of every record; a wrong length or checksum is an error that names the offset."""
     at, view = 0, memoryview(data)
     while at < len(data):
@@ -56,8 +64,9 @@ def parse(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
         payload = view[at + 12 : at + 12 + size]
         if masked(zlib.crc32(payload)) != struct.unpack_from("<I", view, at + 12 + size)[0] or data[at + size + 16] != 10:
             raise ValueError(f"the record at byte {at} is damaged")
-        doc_id, width = struct.unpack_from("<qB", payload)
-        yield doc_id, at, size + 16, np.frombuffer(payload[9:], "<u2" if width == 2 else "<u4")
+        if size:
+            doc_id, width = struct.unpack_from("<qB", payload)
+            yield None if width & NO_ID else doc_id, at, size + 16, np.frombuffer(payload[9:], "<u2" if width & ~NO_ID == 2 else "<u4")
         at += size + 17
 
 
@@ -65,24 +74,36 @@ def ids_crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").data)
 
 
-def _frames(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
+def _frames(batches: Iterator[pa.RecordBatch], path: str, end: int, records_per_file: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
     coder = word_coder(path)
     width = 2 if coder.library.get_vocab_size() <= 1 << 16 else 4
+    rows = size = 0  # in the file that is being written
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
         for first, ids, off in coder.encode(batch.column(1)):
-            frames = [frame(doc_ids[first + k], np.append(ids[off[k] : off[k + 1]], np.uint32(end)), width) for k in range(len(off) - 1)]
+            frames = []
+            for k in range(len(off) - 1):
+                data = frame(doc_ids[first + k], np.append(ids[off[k] : off[k + 1]], np.uint32(end)), width)
+                if rows == records_per_file:
+                    rows = size = 0
+                if rows and size + len(data) + 1 > file_bytes:
+                    frames += [filling()] * (records_per_file - rows)
+                    rows = size = 0
+                frames.append(data)
+                rows, size = rows + 1, size + len(data) + 1
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
 
-def write_records(documents: DataFrame, path: str, vocabulary: str, end: int = END, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_records(documents: DataFrame, path: str, vocabulary: str, end: int = END, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
     """Writes the ids of every text, end appended, to path/records, and the index to path/index.
 
-    A null text has the end id only. Rows that repeat a doc_id are one document (its greatest text); rows without a doc_id cannot be addressed by an
-    index and are not written. Other columns are ignored. An empty table makes an empty index.
+    A null text has the end id only. Rows that repeat a doc_id are one document (its greatest text); rows without a doc_id stand before all others, in
+    the order of their texts. Other columns are ignored. An empty table makes an empty index.
     """
-    docs = unique_rows(documents, ID, "text")
-    rows = docs.repartitionByRange(ID).sortWithinPartitions(ID).mapInArrow(partial(_frames, path=vocabulary, end=end), "frame binary")
+    docs = unique_rows(documents, ID, "text").unionByName(keyless_rows(documents, ID, "text"))
+    frames = partial(_frames, path=vocabulary, end=end, records_per_file=records_per_file, file_bytes=file_bytes)
+    order = (F.col(ID), F.when(F.col(ID).isNull(), F.col("text")))
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(frames, "frame binary")
     rows.select(F.col("frame").cast("string")).write.option("maxRecordsPerFile", records_per_file).text(f"{path}/records")
     build_index(documents.sparkSession, path)
 
@@ -98,7 +119,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [(d, file, at, n, len(ids), ids_crc32(ids)) for d, at, n, ids in parse(content.as_py())]
             for k in range(0, len(rows), 10_000):
                 columns = list(zip(*rows[k : k + 10_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "file", "offset", "length", "n_tokens", "ids_crc32"])
+                kinds = (pa.int64(), pa.string(), *[pa.int64()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "file", "offset", "length", "n_tokens", "ids_crc32"])
 
 
 def build_index(spark: SparkSession, path: str) -> None:
@@ -110,9 +132,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The index with start: the number of ids in all records before each."""
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     files = index.groupBy("file").agg(F.min(ID).alias("first"), F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    before = Window.orderBy(F.asc_nulls_first("first"), F.length("file"), "file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file").orderBy(ID).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     own = index.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return own.join(files, "file").select(ID, (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
 

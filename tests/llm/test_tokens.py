@@ -79,14 +79,31 @@ def test_damage_is_found():
 
 
 def test_records_of_empty_and_keyless_tables(spark, tmp_path):
-    df = spark.createDataFrame([(None, "lost"), (3, "b"), (3, "c")], "doc_id long, text string")
+    df = spark.createDataFrame([(None, "z lost"), (3, "b"), (3, "c"), (None, None), (None, "a first")], "doc_id long, text string")
     token_records.write_records(df, f"file://{tmp_path}/a", tokenizer_path("word_bpe_49k.json"))
-    (row,) = token_records.read_index(spark, f"file://{tmp_path}/a").collect()
-    assert (row.doc_id, row.ids_crc32) == (3, crc(plain_ids(["c"])[0] + [1]))
+    got = sorted(token_records.read_index(spark, f"file://{tmp_path}/a").collect(), key=lambda r: r.start)
+    want = [i + [1] for i in plain_ids([None, "a first", "z lost", "c"])]
+    assert [r.doc_id for r in got] == [None, None, None, 3] and [r.ids_crc32 for r in got] == list(map(crc, want))
+    assert [r.start for r in got] == [sum(map(len, want[:k])) for k in range(4)]
     token_records.write_records(df.limit(0), f"file://{tmp_path}/b", tokenizer_path("word_bpe_49k.json"))
     assert token_records.read_index(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_files_are_bounded_in_bytes(spark, tmp_path):
+    """Books among short texts: no file of several records is larger than the bound, and every record is found at its place."""
+    texts = {k: "word " * (30_000 if k % 5 == 0 else 3) for k in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    path = f"{tmp_path}/c"
+    token_records.write_records(df, f"file://{path}", tokenizer_path("word_bpe_49k.json"), records_per_file=30, file_bytes=100_000)
+    sizes = {f.name: f.stat().st_size for f in (tmp_path / "c" / "records").glob("part-*")}
+    index = token_records.read_index(spark, f"file://{path}").collect()
+    each = {f: [r.length for r in index if r.file == f] for f in sizes}
+    assert len(sizes) >= 4 and all(n <= 100_000 + 30 * 17 or len(each[f]) == 1 for f, n in sizes.items())
+    assert {r.doc_id: r.n_tokens for r in index} == {k: len(t.split()) + 1 for k, t in texts.items()}
+    read = token_records.read_records(spark, f"file://{path}", df.select("doc_id")).collect()
+    assert {r.doc_id: len(r.ids) for r in read} == {r.doc_id: r.n_tokens for r in index}
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
