@@ -16,10 +16,10 @@ document is counted and scored.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +42,12 @@ _TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 class Model:
     """The log-ratio of each bucket, in UNIT, of tokens and of pairs, and the least score of either (None: nothing is rejected)."""
 
-    tokens: list[int]
-    pairs: list[int]
+    tokens: np.ndarray
+    pairs: np.ndarray
     least: tuple[float, float] | None
 
 
-NO_MODEL = Model([0] * BUCKETS, [0] * BUCKETS, None)
+NO_MODEL = Model(np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), None)
 
 
 def _words(text: Column) -> Column:
@@ -100,14 +100,14 @@ def measured(docs: DataFrame, *columns: str) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def _table(values: list[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")  # folded into one literal
+def _table(values: np.ndarray) -> Column:
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>")  # folded into one literal
 
 
-def _ratio(target: list[int], raw: list[int]) -> list[int]:
-    """The log-ratio of each bucket of one multinomial, in UNIT."""
-    n, m = sum(target), sum(raw) + BUCKETS
-    return [round(UNIT * math.log((t * m / (r + 1) + PRIOR) / (n + PRIOR))) for t, r in zip(target, raw, strict=True)]
+def _ratios(target: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
+    """The log-ratio of each bucket, in UNIT, for tokens and for pairs (a row each of both)."""
+    n, m = target.sum(axis=1, keepdims=True), raw.sum(axis=1, keepdims=True) + BUCKETS
+    return list(np.rint(UNIT * np.log((target * (m / (raw + 1)) + PRIOR) / (n + PRIOR))).astype(np.int64))
 
 
 def _score(grams: Column, table: Column) -> Column:
@@ -122,35 +122,33 @@ def _scored(df: DataFrame, tokens: Column, pairs: Column) -> DataFrame:
     return _fixed(df, score=_score(F.col("tokens"), tokens), pair_score=_score(F.col("pairs"), pairs)).drop("tokens", "pairs")
 
 
-def _counted(df: DataFrame, *by: str) -> DataFrame:
-    """bucket, n of tokens (from 0) and pairs (from BUCKETS): at most 2 * BUCKETS rows for each value of by."""
-    of = lambda grams, at: df.select(*by, F.explode(grams).alias("b")).groupBy(*by, "b").agg(F.count("*").alias("n")).withColumn("b", F.col("b") + at)
-    return of(F.col("tokens"), BUCKETS // 2).unionByName(of(_pairs(F.col("tokens")), BUCKETS + BUCKETS // 2))
+def _counted(df: DataFrame, folds: int = 1) -> np.ndarray:
+    """How often each bucket occurs, by fold, for tokens and for pairs; at most 2 * BUCKETS rows a fold come to the driver."""
+    fold = F.col("fold") if folds > 1 else F.lit(0).alias("fold")
+    of = lambda grams, kind: df.select(fold, F.explode(grams).alias("b")).groupBy("fold", "b").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    rows = of(F.col("tokens"), 0).unionByName(of(_pairs(F.col("tokens")), 1)).toArrow()
+    out = np.zeros((folds, 2, BUCKETS), np.int64)
+    place, kind, bucket, n = (rows.column(c).to_numpy() for c in ("fold", "kind", "b", "n"))
+    out[place, kind, bucket.astype(np.int64) + BUCKETS // 2] = n
+    return out
 
 
 def learn(texts: DataFrame, labels: DataFrame) -> Model:
     """The model for rows of measured(). labels: doc_id, quality, toxic; a document is trusted if no row objects. Without trusted ones all ratios are 0."""
     good = (F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
     trusted = labels.groupBy(F.col(ID).cast("long").alias("id")).agg(good.alias("good")).filter("good").select("id")
-    raw = [0] * (2 * BUCKETS)
-    folds = [list(raw), list(raw)]
-    for r in _counted(texts.select("tokens")).collect():
-        raw[r.b] = r.n
+    raw = _counted(texts.select("tokens"))[0]
     # one plan at every size: nothing here has a bound that would let it be broadcast
     known = texts.select("id", "tokens", "n_words").join(trusted.hint("merge"), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
     known = stored(known, "trusted-tokens")
-    for r in _counted(known, "fold").collect():
-        folds[r.fold][r.b] = r.n
-    target = [a + b for a, b in zip(*folds, strict=True)]
-    if not any(target):
+    folds = _counted(known, 2)
+    if not folds.any():
         return NO_MODEL
-    order = lambda counts, k: counts[k * BUCKETS : (k + 1) * BUCKETS]
-    ratios = lambda counts: [_ratio(order(counts, k), order(raw, k)) for k in (0, 1)]
-    of_other = [F.when(F.col("fold") == 0, _table(a)).otherwise(_table(b)) for a, b in zip(ratios(folds[1]), ratios(folds[0]), strict=True)]
+    of_other = [F.when(F.col("fold") == 0, _table(a)).otherwise(_table(b)) for a, b in zip(_ratios(folds[1], raw), _ratios(folds[0], raw), strict=True)]
     held_out = _scored(known.filter(F.col("n_words") >= LEAST_WORDS), *of_other)
     least = lambda c: F.percentile_approx(c, BELOW, 10_000).alias(c)
     at = held_out.agg(F.count("pair_score").alias("n"), least("score"), least("pair_score")).first()
-    return Model(*ratios(target), (at.score, at.pair_score) if at.n >= LEAST_TRUSTED else None)
+    return Model(*_ratios(folds.sum(axis=0), raw), (at.score, at.pair_score) if at.n >= LEAST_TRUSTED else None)
 
 
 def judge(texts: DataFrame, model: Model) -> DataFrame:
