@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # CJK ideographs, and the white space beyond \s that ends no word and is no punctuation.
 CJK = r"[\u3400-\u9fff\uf900-\ufaff]"
@@ -42,14 +43,35 @@ def format_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
+#: File URLs, drive letters, network shares, home and temporary folders, letter case aside; and what stands for one that is left out.
+_END = r"""[^\s<>'"\]\)\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"""
+PRIVATE_PATH = rf"(?i)(?:file:/+(?:[A-Za-z]:)?{_END}|[A-Za-z]:[\\/]{_END}|\\\\{_END}|/(?:Users|home|tmp|var/tmp)/{_END})"
+OMITTED = "[local path omitted]"
+
+#: The same pattern for DuckDB SQL.
+PRIVATE_PATH_SQL = PRIVATE_PATH.replace("'", "''").replace("\\u0085", "\\x{85}").replace("\\u00a0", "\\x{a0}").replace("\\u1680", "\\x{1680}").replace("\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000", "\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}")
+
+
 def private_path(text: Column) -> Column:
     """Whether a text names a path on someone's machine."""
     return text.rlike(PRIVATE_PATH)
 
 
-#: Drive letters, network shares, file URLs, home and temporary folders.
-PRIVATE_PATH = r"([A-Za-z]:[\\/]|\\\\[A-Za-z0-9]|file:|/Users/|/home/|/tmp/|/var/tmp/)[^\s]*"
-
-
 def redact(text: Column) -> Column:
-    return F.regexp_replace(text, PRIVATE_PATH, "[redacted]")
+    """The text without such paths."""
+    return F.regexp_replace(text, PRIVATE_PATH, F.lit(OMITTED))
+
+
+def scrub(value: Column, kind: DataType) -> tuple[Column, Column]:
+    """(a value of any nested type with every string in it redacted, whether any was changed). Keys of maps stay; nulls stay and count as unchanged."""
+    if isinstance(kind, StringType):
+        return redact(value), F.coalesce(private_path(value), F.lit(False))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: scrub(x, kind.elementType)[0]), F.coalesce(F.exists(value, lambda x: scrub(x, kind.elementType)[1]), F.lit(False))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: scrub(x, kind.valueType)[0]), F.coalesce(F.exists(F.map_values(value), lambda x: scrub(x, kind.valueType)[1]), F.lit(False))
+    if isinstance(kind, StructType):
+        parts = [(f.name, *scrub(value.getField(f.name), f.dataType)) for f in kind.fields]
+        whole = F.when(value.isNotNull(), F.struct(*[v.alias(name) for name, v, _ in parts]))
+        return whole, F.greatest(*[c for _, _, c in parts], F.lit(False), F.lit(False))
+    return value, F.lit(False)

@@ -15,9 +15,11 @@ from docmill.registry import query, table
 
 FRAGMENT = 800  # tokens of a stable fragment
 
+# Forms of the lines that the parse tells apart, and where a sentence ends.
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})(.*)$")
-_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*$")
-_ASSET = re.compile(r"^\s*!?\[[^\]]*\]\(assets/[^)]*\)\s*$")
+_OPEN = re.compile(r"\s*(`{3,}|~{3,})")
+_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
+_ASSET = re.compile(r"\]\((?:\./)?assets/[^)]+\)", re.IGNORECASE)
 _CJK = regex.compile(r"[㐀-鿿豈-﫿]")
 _WORD = regex.compile(r"[\p{L}\p{N}_][\p{L}\p{N}_'-]*")
 _MARK = regex.compile(r"[^\p{L}\p{N}_\s\x1c-\x1f]")
@@ -34,61 +36,100 @@ def tokens(text: str) -> int:
     return max(1, len(text) - len(bare) + words - (-marks // 4))
 
 
-def parse(text: str) -> Iterator[tuple[str, int, int, bool, list[str]]]:
-    """(content, first line, last line, atomic, headings above) of each block; lines count from 1."""
-    lines = text.splitlines()
-    stack: list[str] = []
-    para: list[str] = []
-    begin = 0
+def pieces_of(paragraph: str) -> list[str]:
+    """The sentences of a paragraph."""
+    return [x for x in _SENTENCE.split(paragraph.strip()) if x]
 
-    def sentences(upto: int) -> Iterator[tuple[str, int, int, bool, list[str]]]:
-        for piece in _SENTENCE.split("\n".join(para)) if para else ():
-            if piece.strip():
-                yield piece.strip(), begin + 1, upto, False, list(stack)
-        para.clear()
 
-    i = 0
-    while i < len(lines):
-        line, end = lines[i], i + 1
-        fence = _FENCE.match(line)
-        heading = _HEADING.match(line)
-        atomic = True
-        if fence:
-            mark = fence[1]
-            closing = re.compile(rf"^\s{{0,3}}{re.escape(mark[0])}{{{len(mark)},}}\s*$")
-            while end < len(lines) and not closing.match(lines[end]):
-                end += 1
-            end = min(end + 1, len(lines))
-        elif line.lstrip().startswith("|"):
-            while end < len(lines) and lines[end].lstrip().startswith("|"):
-                end += 1
-        elif line.strip().startswith("$$"):
-            if line.strip() == "$$" or line.count("$$") == 1:
-                while end < len(lines) and "$$" not in lines[end]:
-                    end += 1
-                end = min(end + 1, len(lines))
-        elif _ASSET.match(line):
-            pass
-        elif heading:
-            atomic = False
+def sentence_blocks(text: str) -> list[str]:
+    """Sentences of paragraphs; fences, formulas and headings whole. A blank line, a heading or a formula ends a paragraph; what a fence follows directly is one with it."""
+    out: list[str] = []
+    held: list[str] = []
+    fenced = formula = False
+
+    def close(whole: bool = True) -> None:
+        joined = "\n".join(held).strip()
+        out.extend([joined] if whole else pieces_of(joined))
+        held.clear()
+
+    for line in text.splitlines():
+        bare = line.strip()
+        is_fence, is_formula = bool(_OPEN.match(line)), bare == "$$" and not fenced
+        if is_formula and not formula:
+            close()
+        if is_fence or fenced or is_formula or formula:
+            held.append(line)
+            ends = (is_fence and fenced) or (is_formula and formula)
+            fenced, formula = fenced != is_fence, formula != (is_formula and not is_fence)
+            if ends:
+                close()
+        elif (bare.startswith("$$") and bare.endswith("$$")) or _HEADING.match(line):
+            close()
+            out.append(bare)
+        elif bare:
+            held.append(line)
         else:
-            if not line.strip():
-                yield from sentences(i)
-            else:
-                if not para:
-                    begin = i
-                para.append(line)
-            i = end
+            close(whole=False)
+    close(whole=False)
+    return [x for x in out if x]
+
+
+def _run(lines: list[str], start: int) -> int:
+    """The line behind the fence, table, asset line or formula that starts here; start itself if none does."""
+    bare = lines[start].lstrip()
+    end = start + 1
+    if mark := _OPEN.match(lines[start]):
+        closing = re.compile(rf"\s*{re.escape(mark[1][0])}{{{len(mark[1])},}}\s*$")
+        while end < len(lines) and not closing.match(lines[end]):
+            end += 1
+        return min(end + 1, len(lines))
+    if bare.startswith("|"):
+        while end < len(lines) and lines[end].lstrip().startswith("|"):
+            end += 1
+        return end
+    if _ASSET.search(lines[start]):
+        return end
+    if bare == "$$":
+        while end < len(lines) and lines[end].strip() != "$$":
+            end += 1
+        return min(end + 1, len(lines))
+    return end if bare.startswith("$$") and bare.endswith("$$") else start
+
+
+def parse(text: str) -> Iterator[tuple[str, int, int, bool, list[str]]]:
+    """(content, first line, last line, atomic, heading context) of each block; lines count from 1, and a heading is the last of its own context."""
+    lines = text.splitlines()
+    context: list[str] = []
+
+    def block(content: str, first: int, atomic: bool) -> tuple[str, int, int, bool, list[str]]:
+        if heading := _HEADING.match(content):
+            del context[len(heading[1]) - 1 :]
+            context.append(heading[2].strip())
+        return content, first, first + content.count("\n"), atomic, list(context)
+
+    def prose(first: int, last: int) -> Iterator[tuple[str, int, int, bool, list[str]]]:
+        segment, at = "\n".join(lines[first:last]), 0
+        for piece in sentence_blocks(segment) if segment else ():
+            found = segment.find(piece, at)
+            found = at if found < 0 else found
+            yield block(piece, first + 1 + segment.count("\n", 0, found), False)
+            at = found + len(piece)
+
+    i = begin = 0
+    while i < len(lines):
+        end = _run(lines, i)
+        heading = end == i and _HEADING.match(lines[i])
+        if end == i and not heading and lines[i].strip():
+            i += 1
             continue
-        yield from sentences(i)
-        if heading and not atomic:
-            del stack[len(heading[1]) - 1 :]
-            yield line.strip(), i + 1, end, False, list(stack)
-            stack.append(heading[2])
-        else:
-            yield "\n".join(lines[i:end]), i + 1, end, atomic, list(stack)
-        i = end
-    yield from sentences(len(lines))
+        yield from prose(begin, i)
+        if end > i:
+            content = lines[i].strip() if _ASSET.search(lines[i]) and not _OPEN.match(lines[i]) and not lines[i].lstrip().startswith("|") else "\n".join(lines[i:end])
+            yield block(content, i + 1, True)
+        elif heading:
+            yield block(lines[i].strip(), i + 1, False)
+        i = begin = max(end, i + 1)
+    yield from prose(begin, len(lines))
 
 
 #: Separators in the order in which a cut prefers them.
@@ -96,21 +137,20 @@ SEPARATORS = "。！？.;，, "
 
 
 def split_oversized(text: str, limit: int) -> list[str]:
-    """Pieces of at most limit tokens, cut behind the most preferred separator in the second half of the longest prefix that fits; atomic text stays whole."""
+    """Pieces of at most limit tokens, each cut behind the most preferred separator in the second half of the longest prefix that fits. A text that fits, or
+    that begins as a fence, table or formula, stays whole."""
+    if tokens(text) <= limit or text.startswith(("```", "~~~", "|", "$$")):
+        return [text]
     pieces, rest = [], text
     while rest:
-        if tokens(rest) <= limit or rest.startswith(("```", "~~~", "|", "$$")):
-            pieces.append(rest)
-            break
         low, high = 1, len(rest)
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if tokens(rest[:middle]) <= limit else (low, middle - 1)
-        at = next((k + 1 for s in SEPARATORS if (k := rest.rfind(s, 0, low + 1)) >= low // 2 and k >= 0), low)
-        piece, rest = rest[:at].strip(), rest[at:].strip()
-        if piece:
-            pieces.append(piece)
-    return pieces
+        at = next((k + 1 for s in SEPARATORS if (k := rest.rfind(s, 0, low + 1)) >= max(1, low // 2)), low)
+        pieces.append(rest[:at].strip())
+        rest = rest[at:].strip()
+    return [p for p in pieces if p]
 
 
 def clean(text: str) -> str:
@@ -192,20 +232,29 @@ def structural_blocks(docs: DataFrame, limit: int = FRAGMENT) -> DataFrame:
 
 
 def order_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as Markdown: heading, sentence, table of line items, fenced note."""
+    """Orders as Markdown: heading, sentences, asset line, table of line items, fenced note, formula, and a line that only begins like one."""
     row = F.format_string("| %d | %d |", F.col("l_linenumber"), F.col("l_partkey"))
     items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x.row), "\n")
-    text = F.concat(F.lit("# Order "), F.col("l_orderkey").cast("string"), F.lit("\n\nIt has lines. They follow.\n\n## Lines\n\n"), body, F.lit("\n\n```\nnote | of code\n```\n"))
-    return items.select(F.col("l_orderkey").alias("doc_id"), text.alias("markdown"))
-
-
-@query("structural_blocks", """WITH n AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY l_orderkey)
-SELECT doc_id, CAST(6 AS BIGINT) AS n_blocks, CAST(2 AS BIGINT) AS n_atomic, CAST(10 + n AS BIGINT) AS last_line, 'Order ' || doc_id || '/Lines' AS deepest FROM n""")
+    key = F.col("l_orderkey").cast("string")
+    head = F.concat(F.lit("# Order "), key, F.lit("\n\nIt has lines. They\nfollow!\nSee ![x](./Assets/p.png) here.\n\n## Lines\n\n"))
+    tail = F.concat(F.lit("\n\n````\nnote. of code\n```\n  `````\n$$\nk = "), key, F.lit("\n$$\n$$ a. b $$ c\n### Last\nend"))
+    return items.select(F.col("l_orderkey").alias("doc_id"), F.concat(head, body, tail).alias("markdown"))
+
+
+@query("structural_blocks", """WITH o AS (SELECT l_orderkey AS doc_id, count(*) AS n, string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) ORDER BY l_linenumber, '| ' || l_linenumber || ' | ' || l_partkey || ' |') AS items FROM lineitem GROUP BY l_orderkey),
+b AS (SELECT doc_id, unnest([
+ {'content': '# Order ' || doc_id, 'a': 1, 'z': 1, 'atomic': false, 'level': 1}, {'content': 'It has lines.', 'a': 3, 'z': 3, 'atomic': false, 'level': 1},
+ {'content': 'They' || chr(10) || 'follow!', 'a': 3, 'z': 4, 'atomic': false, 'level': 1}, {'content': 'See ![x](./Assets/p.png) here.', 'a': 5, 'z': 5, 'atomic': true, 'level': 1},
+ {'content': '## Lines', 'a': 7, 'z': 7, 'atomic': false, 'level': 2}, {'content': items, 'a': 9, 'z': 8 + n, 'atomic': true, 'level': 2},
+ {'content': concat_ws(chr(10), '````', 'note. of code', '```', '  `````'), 'a': 10 + n, 'z': 13 + n, 'atomic': true, 'level': 2},
+ {'content': concat_ws(chr(10), '$$', 'k = ' || doc_id, '$$'), 'a': 14 + n, 'z': 16 + n, 'atomic': true, 'level': 2},
+ {'content': '$$ a.', 'a': 17 + n, 'z': 17 + n, 'atomic': false, 'level': 2}, {'content': 'b $$ c', 'a': 17 + n, 'z': 17 + n, 'atomic': false, 'level': 2},
+ {'content': '### Last', 'a': 18 + n, 'z': 18 + n, 'atomic': false, 'level': 3}, {'content': 'end', 'a': 19 + n, 'z': 19 + n, 'atomic': false, 'level': 3}]) AS b FROM o)
+SELECT doc_id, sha256(b.content) AS content_sha256, CAST(b.a AS INT) AS start_line, CAST(b.z AS INT) AS end_line, b.atomic AS atomic, 'Order ' || doc_id || CASE b.level WHEN 1 THEN '' WHEN 2 THEN '/Lines' ELSE '/Lines/Last' END AS context FROM b""")
 def blocks_of_orders(spark: SparkSession, sf: str) -> DataFrame:
     b = structural_blocks(order_documents(spark, sf))
-    path = F.array_join("heading_context", "/")
-    return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if("atomic").alias("n_atomic"), F.max("end_line").cast("long").alias("last_line"), F.max_by(path, F.length(path)).alias("deepest"))
+    return b.select("doc_id", F.sha2("content", 256).alias("content_sha256"), "start_line", "end_line", "atomic", F.array_join("heading_context", "/").alias("context"))
 
 
 @query("source_map_verify", """SELECT d.doc_id, l.doc_id IS NOT NULL AS listed, sha256(coalesce(text, '')) = sha256(CASE WHEN d.doc_id % 17 = 0 THEN 'changed' ELSE coalesce(text, '') END) AND l.doc_id IS NOT NULL AS verified

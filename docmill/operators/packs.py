@@ -191,7 +191,12 @@ def context_packs(spark: SparkSession, sf: str) -> DataFrame:
     return packs(b, assign(b, 2000), 2000).drop("content")
 
 
-@query("context_pack_integrity", "SELECT conv_id % 16 AS pack_job, count(*) AS input_blocks, count(*) AS packed_blocks, CAST(0 AS BIGINT) AS missing_blocks, CAST(0 AS BIGINT) AS duplicate_blocks, true AS order_preserved, true AS complete FROM conversations GROUP BY 1")
+@query("context_pack_integrity", _SQL + """, n AS (SELECT job, i, pack, CASE WHEN src % 7 = 3 THEN 0 WHEN src % 5 = 2 THEN 2 ELSE 1 END AS n FROM p),
+g AS (SELECT job, count(*) AS input_blocks, CAST(sum(n) AS BIGINT) AS packed_blocks, count(*) FILTER (WHERE n = 0) AS missing_blocks, count(*) FILTER (WHERE n = 2) AS duplicate_blocks, NOT (job % 4 = 1 AND count(DISTINCT pack) FILTER (WHERE n > 0) > 1) AS order_preserved FROM n GROUP BY job)
+SELECT job AS pack_job, input_blocks, packed_blocks, missing_blocks, duplicate_blocks, order_preserved, missing_blocks = 0 AND duplicate_blocks = 0 AND order_preserved AS complete FROM g""")
 def context_pack_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """Integrity of packs that lost some sources, hold others twice, and in every fourth job are in reverse order."""
     b = conversation_blocks(spark, sf)
-    return integrity(b, assign(b, 2000))
+    placed = assign(b, 2000).filter("source_order % 7 <> 3")
+    placed = placed.unionByName(placed.filter("source_order % 5 = 2"))
+    return integrity(b, placed.withColumn("pack", F.when(F.col("pack_job") % 4 == 1, -F.col("pack")).otherwise(F.col("pack"))))

@@ -21,8 +21,8 @@ ISSUE = "array<struct<rule_no:int,code:string,severity:string,line:int>>"
 
 
 def lines_of(text: Column) -> Column:
-    """Lines, without the empty one behind a last line end; a null or empty text has none."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    """Lines, ended as Python's splitlines() ends them, without the empty one behind a last line end; a null or empty text has none."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n|[\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]", "\n")
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
 
 

@@ -318,11 +318,20 @@ def to_markdown(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(partial(_convert, converters=dict(CONVERTERS)), "path string, markdown string, error_code string, error string")
 
 
-@query("html_to_markdown", "SELECT page_id, true AS converted FROM pages")
+@query("html_to_markdown", """SELECT page_id, true AS converted, 'Page ' || page_id AS title, 'x & y é' AS item, CAST(length(url) AS BIGINT) AS link_chars FROM pages""")
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether every page becomes Markdown: a text, no error."""
-    pages = table(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "utf-8").alias("content"))
-    return to_markdown(pages).select(F.substring_index("path", ".", 1).cast("long").alias("page_id"), (F.col("markdown").isNotNull() & F.col("error_code").isNull()).alias("converted"))
+    """Every page becomes Markdown without an error, and what was put before its text is found in it: a heading, an item of a list, a link."""
+    head = F.concat(F.lit("<h1>Page "), F.col("page_id").cast("string"), F.lit("</h1><script>no()</script><ul><li>x &amp; y &eacute;</li></ul><p><a href='"), F.col("url"), F.lit("'>there</a></p>"))
+    content = F.concat(F.lit("<html><body>"), head, F.regexp_replace("html", r"(?is)</?(html|body)\b[^>]*>|<!doctype[^>]*>", ""), F.lit("</body></html>"))
+    pages = table(spark, sf, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode(content, "utf-8").alias("content"))
+    found = lambda pattern: F.regexp_extract("markdown", pattern, 1)
+    return to_markdown(pages).select(
+        F.substring_index("path", ".", 1).cast("long").alias("page_id"),
+        (F.col("markdown").isNotNull() & F.col("error_code").isNull() & ~F.col("markdown").contains("no()")).alias("converted"),
+        found(r"(?m)^# (.*)$").alias("title"),
+        found(r"(?m)^- (.*)$").alias("item"),
+        F.length(found(r"\[there\]\(([^)]*)\)")).cast("long").alias("link_chars"),
+    )
 
 
 @query("csv_to_markdown", "SELECT n_nationkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) AS markdown FROM nation")

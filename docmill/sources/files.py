@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Suffixes that each workspace takes.
-DOCUMENTS = (".docx", ".pptx", ".xlsx", ".pdf", ".html", ".htm", ".csv", ".json", ".xml", ".epub", ".txt", ".md", ".png", ".jpg", ".jpeg")
-VIDEOS = (".mp4", ".mov", ".mkv", ".avi", ".m4v", ".webm")
+MARKDOWN = (".docx", ".pptx", ".xlsx", ".pdf", ".html", ".htm", ".csv", ".json", ".xml", ".epub", ".txt", ".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
+WORD, SLIDES = (".doc", ".docx"), (".ppt", ".pptx")
+VIDEOS = (".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v")
+DOCUMENTS = tuple(dict.fromkeys(MARKDOWN + WORD + SLIDES))
 
 
-def discover(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = DOCUMENTS) -> DataFrame:
-    """path, name, suffix, bytes, modified of all files below the paths that have one of the suffixes; each path once, letter case aside.
+def discover(spark: SparkSession, *paths: str, suffixes: tuple[str, ...] = DOCUMENTS + VIDEOS) -> DataFrame:
+    """path, name, suffix, bytes, modified of all files below the paths that have one of the suffixes (with or without its dot), in the order of their
+    paths; each path once, and both letter case aside (of paths that differ in it the least stays).
 
     The listing is Spark's own, so any store it reads will do; contents are not read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     rows = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    rows = rows.withColumn("suffix", F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))).filter(F.col("suffix").isin(*suffixes))
-    return rows.dropDuplicates(["path"]).select("path", "name", "suffix", "bytes", "modified")
+    rows = rows.withColumn("suffix", F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))).filter(F.col("suffix").isin(*["." + x.lower().lstrip(".") for x in suffixes]))
+    columns = ("path", "name", "suffix", "bytes", "modified")
+    once = rows.groupBy(F.lower("path").alias("folded")).agg(F.min(F.struct(*columns)).alias("r"))
+    return once.orderBy("folded").select(*[F.col(f"r.{c}").alias(c) for c in columns])
 
 
 def classify(files: DataFrame) -> DataFrame:

@@ -7,16 +7,36 @@ TEXT = "# A\n\nOne. Two!\nthree\n\n### B\n| x | y |\n| 1 | 2 |\n\n````\n```\ncod
 
 def test_parse():
     got = list(B.parse(TEXT))
-    assert [(g[0].split("\n")[0], g[1], g[2], g[3]) for g in got] == [("# A", 1, 1, False), ("One.", 3, 4, False), ("Two!", 3, 4, False), ("three", 3, 4, False), ("### B", 6, 6, False), ("| x | y |", 7, 8, True), ("````", 10, 14, True), ("$$", 15, 17, True), ("![i](assets/p.png)", 18, 18, True), ("## C", 19, 19, False), ("last", 20, 20, False)]
-    assert got[5][4] == ["A", "B"] and got[-1][4] == ["A", "C"] and got[0][4] == []
+    assert [(g[0].split("\n")[0], g[1], g[2], g[3]) for g in got] == [("# A", 1, 1, False), ("One.", 3, 3, False), ("Two!", 3, 3, False), ("three", 4, 4, False), ("### B", 6, 6, False), ("| x | y |", 7, 8, True), ("````", 10, 14, True), ("$$", 15, 17, True), ("![i](assets/p.png)", 18, 18, True), ("## C", 19, 19, False), ("last", 20, 20, False)]
+    assert got[5][4] == ["A", "B"] and got[-1][4] == ["A", "C"] and got[0][4] == ["A"] and got[4][4] == ["A", "B"]
     assert list(B.parse("")) == []
 
 
+def test_parse_of_links_formulas_and_fences():
+    first = lambda text: [(c, a, z, atomic) for c, a, z, atomic, _ in B.parse(text)]
+    assert first("See ![x](./assets/p.png) here. And. ") == [("See ![x](./assets/p.png) here. And.", 1, 1, True)]
+    assert first("[X](ASSETS/p) x") == [("[X](ASSETS/p) x", 1, 1, True)]
+    assert first("$$ a\nb. $$ c") == [("$$ a\nb.", 1, 2, False), ("$$ c", 2, 2, False)]
+    assert first("$$ a $$\n$$x\n$$\ny $$\n$$\nz") == [("$$ a $$", 1, 1, True), ("$$x", 2, 2, False), ("$$\ny $$\n$$", 3, 5, True), ("z", 6, 6, False)]
+    assert first("      ```\na. b\n        ```` \nc") == [("      ```\na. b\n        ```` ", 1, 3, True), ("c", 4, 4, False)]
+    assert first("a\u2028b.\x0cc") == [("a\nb.", 1, 2, False), ("c", 3, 3, False)]
+    assert [c[4] for c in B.parse("One. # Two\nx")] == [[], []] and [c[4] for c in B.parse("# \n#\tT \nx")] == [[], ["T"], ["T"]]
+
+
+def test_sentence_blocks():
+    assert B.sentence_blocks("a. b！c\n\nd\n# H\n$$x$$\ne") == ["a.", "b！", "c", "d", "# H", "$$x$$", "e"]
+    assert B.sentence_blocks("p. q\n```\nx. y\n```\nr") == ["p. q\n```\nx. y\n```", "r"]
+    assert B.sentence_blocks("p. q\n$$ \nx. y\n $$\nr. s") == ["p. q", "$$ \nx. y\n $$", "r.", "s"]
+    assert B.sentence_blocks("") == [] and B.sentence_blocks("$$\na. b") == ["$$\na.", "b"]
+
+
 def test_oversized_pieces_fit_and_keep_all_words():
     text = " ".join(f"word{i}{'.' if i % 9 == 0 else ''}" for i in range(500))
     pieces = B.split_oversized(text, 40)
     assert " ".join(pieces).split() == text.split() and all(B.tokens(p) <= 40 for p in pieces)
     assert B.split_oversized("| a | " * 100, 5) == ["| a | " * 100]
+    rest_like_a_table = "word " * 40 + "| " * 200  # only a whole text that begins as a table stays whole
+    assert all(B.tokens(p) <= 31 for p in B.split_oversized(rest_like_a_table, 31)) and B.split_oversized("fits. whole", 9) == ["fits. whole"]
 
 
 def test_clean():
