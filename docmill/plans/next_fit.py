@@ -21,28 +21,33 @@ SPAN = 1 << 16  # values of the order that are numbered together
 
 
 def numbered(rows: DataFrame, span: int = SPAN) -> DataFrame:
-    """rows (job, major, minor, ...) with n: dense numbers from 0 in the order of major and minor within a job. Spans of major are counted first and numbered
-    by running sums of their counts; rows are numbered within their span."""
-    r = rows.withColumn("_s", F.floor(F.col("major") / span))
-    counts = r.groupBy("job", "_s").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy("job").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("job", "_s", F.coalesce(before, F.lit(0)).alias("_b"))
-    own = F.row_number().over(Window.partitionBy("job", "_s").orderBy("major", "minor"))
-    return r.withColumn("_i", own - 1).join(starts, ["job", "_s"]).withColumn("n", F.col("_b") + F.col("_i")).drop("_s", "_b", "_i")
+    """rows (job, major, minor, ...) with n: dense numbers from 0 in the order of major and minor within a job.
+
+    Rows are counted in cells, a cell being a span of minor within a major, cells in spans of major, and both are numbered by running sums of the counts
+    before them. So no task orders more than the rows of a cell, the cells of a span or the spans of a job, however large a job or a major is.
+    """
+    r = rows.withColumn("_m", F.floor(F.col("minor") / span))
+    cells = r.groupBy("job", "major", "_m").agg(F.count("*").alias("_c")).withColumn("_s", F.floor(F.col("major") / span))
+    sums = lambda by, *order: F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = cells.groupBy("job", "_s").agg(F.sum("_c").alias("_c")).select("job", "_s", sums(["job"], "_s").alias("_b"))
+    starts = cells.withColumn("_w", sums(["job", "_s"], "major", "_m")).join(spans, ["job", "_s"]).select("job", "major", "_m", (F.col("_b") + F.col("_w")).alias("_b"))
+    own = F.row_number().over(Window.partitionBy("job", "major", "_m").orderBy("minor"))
+    return r.withColumn("_i", own - 1).join(starts, ["job", "major", "_m"]).withColumn("n", F.col("_b") + F.col("_i")).drop("_m", "_b", "_i")
 
 
 def _exits(frame: pd.DataFrame, target: int) -> pd.DataFrame:
+    """For each row of a run: how many packs begin in the run if one begins at that row, and where behind the run the next one begins."""
     frame = frame.sort_values("n")
     full, sums = frame["full"].to_numpy(), frame["rest"].to_numpy().cumsum()
     size = int(frame["own"].sum())
     rows = np.arange(size)
-    after = np.maximum(rows + 1, np.searchsorted(sums, target - full[:size] + sums[:size], side="right")).tolist()
-    leave, packs = [0] * size, [1] * size
-    for i in range(size - 1, -1, -1):
-        j = after[i]
-        leave[i], packs[i] = (j - size, 1) if j >= size else (leave[j], packs[j] + 1)
+    leave = np.maximum(rows + 1, np.searchsorted(sums, target - full[:size] + sums[:size], side="right"))
+    packs = np.ones(size, np.int64)
+    while (inside := leave < size).any():  # each round doubles the packs that are jumped over
+        packs[inside] += packs[leave[inside]]
+        leave[inside] = leave[leave[inside]]
     top = min(size, target + 1)
-    return pd.DataFrame({"job": [frame["job"].iloc[0]], "run": [int(frame["run"].iloc[0])], "size": [size], "leave": [leave[:top]], "packs": [packs[:top]]})
+    return pd.DataFrame({"job": [frame["job"].iloc[0]], "run": [int(frame["run"].iloc[0])], "size": [size], "leave": [(leave - size)[:top]], "packs": [packs[:top]]})
 
 
 def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,20 +66,33 @@ def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _place(frames: Iterator[pd.DataFrame], target: int, run: int) -> Iterator[pd.DataFrame]:
-    at, used, pack = None, 0, 0
+    """Rows in order: a step for each pack, which a search in the running sums finds the end of."""
+    open_run, used, pack = None, 0, 0
     for frame in frames:
-        packs, heads = [], []
-        for j, r, n, full, rest, enter, first in zip(frame["job"], frame["run"], frame["n"], frame["full"], frame["rest"], frame["enter"], frame["pack"], strict=True):
-            if (j, r) != at:
-                at, used, pack = (j, r), target + 1, first
-            k = n - r * run
-            head = k >= enter and (k == enter or used + rest > target)
-            if head:
-                pack, used = pack + 1, full
-            elif k >= enter:
-                used += rest
-            packs.append(pack)
-            heads.append(head)
+        jobs, number = frame["job"].to_numpy(), frame["run"].to_numpy()
+        new = np.ones(len(frame), bool)
+        new[1:] = (jobs[1:] != jobs[:-1]) | (number[1:] != number[:-1])
+        cuts = np.append(np.flatnonzero(new), len(frame)).tolist()
+        place_of, full, rest = (frame[c].to_numpy() for c in ("n", "full", "rest"))
+        packs, heads = np.zeros(len(frame), np.int64), np.zeros(len(frame), bool)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = a
+            if (jobs[a], number[a]) != open_run:
+                open_run, used, pack = (jobs[a], number[a]), None, int(frame["pack"].iloc[a])
+            if used is None:  # no pack has begun in this run: those before its entry belong to the last one
+                at = min(b, a + max(0, int(number[a]) * run + int(frame["enter"].iloc[a]) - int(place_of[a])))
+                packs[a:at] = pack
+            sums = np.concatenate([[0], rest[a:b].cumsum()])
+            while at < b:
+                if used is not None:
+                    end = a + int(np.searchsorted(sums, target - used + sums[at - a], side="right")) - 1
+                    packs[at:end] = pack
+                    used += int(sums[min(end, b) - a] - sums[at - a])
+                    at = end
+                if at < b:
+                    pack, used = pack + 1, int(full[at])
+                    packs[at], heads[at] = pack, True
+                    at += 1
         yield frame[["job", "major", "minor"]].assign(pack=packs, starts=heads)
 
 
