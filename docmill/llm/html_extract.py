@@ -70,27 +70,42 @@ def key_of(tag: str, names: str) -> str:
     return f"{tag}.{names}" if names and tag in CONTAINER else tag
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, tuple[str, ...]]]:
-    """(kind, key, text or tag, keys of the open containers) of each token; an end tag without its start closes nothing."""
-    open_keys: list[str] = []
-    open_tags: list[str] = []
-    now: tuple[str, ...] = ()
+class Place:
+    """An open container and those around it: whether one of them is an article or main element, and whether none of those around it has its key."""
+
+    __slots__ = ("key", "around", "inside", "first", "words")
+
+    def __init__(self, key: str, around: Place | None, first: bool):
+        self.key, self.around, self.first = key, around, first
+        self.inside = key.split(".")[0] in ("article", "main") or (around is not None and around.inside)
+        self.words = [0, 0]  # outside and inside an article or main element
+
+
+def walk(page: str) -> Iterator[tuple[str, str, str, Place | None]]:
+    """(kind, key, text or tag, innermost open container) of each token; an end tag without its start closes nothing. A step costs the same at any depth."""
+    places: list[Place] = []
+    keys: Counter = Counter()
+    tags: Counter = Counter()
     for kind, value, names in tokens(page):
+        now = places[-1] if places else None
         if kind == "text":
             yield kind, "", value, now
         elif kind == "open":
             key = key_of(value, names)
             yield kind, key, value, now
             if value in CONTAINER:
-                open_keys.append(key)
-                open_tags.append(value)
-                now = tuple(open_keys)
+                places.append(Place(key, now, not keys[key]))
+                keys[key] += 1
+                tags[value] += 1
         else:
-            if value in CONTAINER and value in open_tags:
-                while open_tags.pop() != value:
-                    open_keys.pop()
-                open_keys.pop()
-                now = tuple(open_keys)
+            if tags[value]:
+                closed = ""
+                while closed != value:
+                    last = places.pop()
+                    closed = last.key.split(".")[0]
+                    keys[last.key] -= 1
+                    tags[closed] -= 1
+                now = places[-1] if places else None
             yield kind, "/" + value, value, now
 
 
@@ -98,16 +113,25 @@ def count_page(page: str, counts: Counter) -> None:
     """Adds (kind, key, inside): how often a tag, or a word in a container, stands inside a page's own article or main element. Pages without: nothing."""
     if not re.search(r"<(article|main)\b", page, re.I):
         return
-    for kind, key, value, within in walk(page):
-        inside = any(k.split(".")[0] in ("article", "main") for k in within)
+    met: dict[Place, None] = {}
+    for kind, key, value, place in walk(page):
+        inside = place is not None and place.inside
+        if place is not None:
+            met[place] = None
         if kind == "text":
             n = len(value.split())
             if n:
                 counts["word", "", inside] += n
-                for k in set(within):
-                    counts["in", k, inside] += n
+                if place is not None:
+                    place.words[inside] += n
         else:
             counts["tag", key, inside] += 1
+    for place in reversed(met):  # a container is met before those within it
+        for inside, n in enumerate(place.words):
+            if n and place.first:
+                counts["in", place.key, bool(inside)] += n
+            if n and place.around is not None:
+                place.around.words[inside] += n
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +160,14 @@ class Weights:
             if a + b >= LEAST_SEEN and key.split(".")[0] not in ("article", "main") and key not in ("div", "section"):
                 self.aside[key] = a < MOST_INSIDE * (a + b)
 
-    def is_aside(self, key: str, within: tuple[str, ...]) -> bool:
+    def is_aside(self, place: Place) -> bool:
         """Whether a container holds no main text: by what was learned of it, or else by its names and, of a header, by whether it is an article's own."""
-        learned = self.aside.get(key)
+        learned = self.aside.get(place.key)
         if learned is not None:
             return learned
-        at = (key, any(k.split(".")[0] in ("article", "main") for k in within))
+        at = (place.key, place.around is not None and place.around.inside)
         if at not in self.by_name:
-            tag, _, names = key.partition(".")
+            tag, _, names = place.key.partition(".")
             self.by_name[at] = tag in ASIDE_TAGS or bool(ASIDE_NAMES & set(_NAME.findall(names))) or (tag == "header" and not at[1])
         return self.by_name[at]
 
@@ -152,11 +176,11 @@ def main_text(page: str, weights: Weights) -> str:
     """The text of the best region: its blocks, white space made single, joined by line feeds."""
     parts: list[tuple[str, str, bool]] = []  # kind, text or tag, whether in a container without main text
     scores: list[float] = []
-    asides: dict[tuple[str, ...], bool] = {}
-    for kind, key, value, within in walk(page):
-        if within not in asides:
-            asides[within] = any(weights.is_aside(k, within[:i]) for i, k in enumerate(within))
-        aside = asides[within]
+    asides: dict[Place | None, bool] = {None: False}
+    for kind, key, value, place in walk(page):
+        if place not in asides:
+            asides[place] = asides[place.around] or weights.is_aside(place)
+        aside = asides[place]
         if kind == "text":
             n = len(value.split())
             scores.append(ASIDE_COST * n if aside else float(n))
