@@ -85,9 +85,9 @@ def _place(frames: Iterator[pd.DataFrame], target: int, run: int) -> Iterator[pd
             sums = np.concatenate([[0], rest[a:b].cumsum()])
             while at < b:
                 if used is not None:
-                    end = a + int(np.searchsorted(sums, target - used + sums[at - a], side="right")) - 1
+                    end = max(at, a + int(np.searchsorted(sums, target - used + sums[at - a], side="right")) - 1)
                     packs[at:end] = pack
-                    used += int(sums[min(end, b) - a] - sums[at - a])
+                    used += int(sums[end - a] - sums[at - a])
                     at = end
                 if at < b:
                     pack, used = pack + 1, int(full[at])
