@@ -242,15 +242,18 @@ def order_documents(spark: SparkSession, sf: str) -> DataFrame:
     return items.select(F.col("l_orderkey").alias("doc_id"), F.concat(head, body, tail).alias("markdown"))
 
 
-@query("structural_blocks", """WITH o AS (SELECT l_orderkey AS doc_id, count(*) AS n, string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) ORDER BY l_linenumber, '| ' || l_linenumber || ' | ' || l_partkey || ' |') AS items FROM lineitem GROUP BY l_orderkey),
+BLOCKS_SQL = """WITH o AS (SELECT l_orderkey AS doc_id, count(*) AS n, string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) ORDER BY l_linenumber, '| ' || l_linenumber || ' | ' || l_partkey || ' |') AS items FROM lineitem GROUP BY l_orderkey),
 b AS (SELECT doc_id, unnest([
- {'content': '# Order ' || doc_id, 'a': 1, 'z': 1, 'atomic': false, 'level': 1}, {'content': 'It has lines.', 'a': 3, 'z': 3, 'atomic': false, 'level': 1},
- {'content': 'They' || chr(10) || 'follow!', 'a': 3, 'z': 4, 'atomic': false, 'level': 1}, {'content': 'See ![x](./Assets/p.png) here.', 'a': 5, 'z': 5, 'atomic': true, 'level': 1},
- {'content': '## Lines', 'a': 7, 'z': 7, 'atomic': false, 'level': 2}, {'content': items, 'a': 9, 'z': 8 + n, 'atomic': true, 'level': 2},
- {'content': concat_ws(chr(10), '````', 'note. of code', '```', '  `````'), 'a': 10 + n, 'z': 13 + n, 'atomic': true, 'level': 2},
- {'content': concat_ws(chr(10), '$$', 'k = ' || doc_id, '$$'), 'a': 14 + n, 'z': 16 + n, 'atomic': true, 'level': 2},
- {'content': '$$ a.', 'a': 17 + n, 'z': 17 + n, 'atomic': false, 'level': 2}, {'content': 'b $$ c', 'a': 17 + n, 'z': 17 + n, 'atomic': false, 'level': 2},
- {'content': '### Last', 'a': 18 + n, 'z': 18 + n, 'atomic': false, 'level': 3}, {'content': 'end', 'a': 19 + n, 'z': 19 + n, 'atomic': false, 'level': 3}]) AS b FROM o)
+ {'i': 1, 'content': '# Order ' || doc_id, 'a': 1, 'z': 1, 'atomic': false, 'level': 1}, {'i': 2, 'content': 'It has lines.', 'a': 3, 'z': 3, 'atomic': false, 'level': 1},
+ {'i': 3, 'content': 'They' || chr(10) || 'follow!', 'a': 3, 'z': 4, 'atomic': false, 'level': 1}, {'i': 4, 'content': 'See ![x](./Assets/p.png) here.', 'a': 5, 'z': 5, 'atomic': true, 'level': 1},
+ {'i': 5, 'content': '## Lines', 'a': 7, 'z': 7, 'atomic': false, 'level': 2}, {'i': 6, 'content': items, 'a': 9, 'z': 8 + n, 'atomic': true, 'level': 2},
+ {'i': 7, 'content': concat_ws(chr(10), '````', 'note. of code', '```', '  `````'), 'a': 10 + n, 'z': 13 + n, 'atomic': true, 'level': 2},
+ {'i': 8, 'content': concat_ws(chr(10), '$$', 'k = ' || doc_id, '$$'), 'a': 14 + n, 'z': 16 + n, 'atomic': true, 'level': 2},
+ {'i': 9, 'content': '$$ a.', 'a': 17 + n, 'z': 17 + n, 'atomic': false, 'level': 2}, {'i': 10, 'content': 'b $$ c', 'a': 17 + n, 'z': 17 + n, 'atomic': false, 'level': 2},
+ {'i': 11, 'content': '### Last', 'a': 18 + n, 'z': 18 + n, 'atomic': false, 'level': 3}, {'i': 12, 'content': 'end', 'a': 19 + n, 'z': 19 + n, 'atomic': false, 'level': 3}]) AS b FROM o)"""
+
+
+@query("structural_blocks", BLOCKS_SQL + """
 SELECT doc_id, sha256(b.content) AS content_sha256, CAST(b.a AS INT) AS start_line, CAST(b.z AS INT) AS end_line, b.atomic AS atomic, 'Order ' || doc_id || CASE b.level WHEN 1 THEN '' WHEN 2 THEN '/Lines' ELSE '/Lines/Last' END AS context FROM b""")
 def blocks_of_orders(spark: SparkSession, sf: str) -> DataFrame:
     b = structural_blocks(order_documents(spark, sf))

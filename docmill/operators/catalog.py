@@ -86,7 +86,7 @@ def location(span: Column) -> Column:
     kind, label = F.when(span.kind.isin("page", "slide", "worksheet", "ocr"), span.kind).otherwise("document"), F.coalesce(span.label, F.lit(""))
     whole = (kind == "document") | (kind.isin("page", "slide") & span.ordinal.isNull()) | ((kind == "worksheet") & (label == ""))
     sure = F.when(span.confidence.isNotNull(), F.format_string(" (%d%% confidence)", F.bround(span.confidence * 100, 0).cast("long"))).otherwise("")
-    text = F.when(whole, "Document level").when(kind == "page", F.concat(F.lit("PDF page "), span.ordinal.cast("string"))).when(kind == "slide", F.concat(F.lit("Slide "), span.ordinal.cast("string"))).when(kind == "worksheet", F.concat(F.lit("Sheet "), label)).otherwise(F.concat(F.when(label != "", F.concat(F.lit("OCR "), label)).otherwise("OCR"), sure))
+    text = F.when(whole, "Document-level fallback").when(kind == "page", F.concat(F.lit("PDF page "), span.ordinal.cast("string"))).when(kind == "slide", F.concat(F.lit("Slide "), span.ordinal.cast("string"))).when(kind == "worksheet", F.concat(F.lit("Sheet "), label)).otherwise(F.concat(F.when(label != "", F.concat(F.lit("OCR "), label)).otherwise("OCR"), sure))
     return F.struct(kind.alias("kind"), text.alias("display"), whole.alias("fallback"), span.ordinal.alias("ordinal"))
 
 
@@ -103,7 +103,7 @@ def span_of(payload: Column) -> Column:
     return F.struct(F.coalesce(r.source_type, F.lit("document")).alias("kind"), F.coalesce(r.label, F.lit("Document")).alias("label"), whole("ordinal", F.lit(None).cast("int")).alias("ordinal"), whole("start_line", F.lit(1)).alias("start_line"), whole("end_line", F.lit(1)).alias("end_line"), number.alias("confidence"))
 
 
-@query("source_map_locations", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PDF page ' || event_id WHEN 1 THEN 'Document level' WHEN 2 THEN 'Sheet Sales' WHEN 3 THEN 'OCR p (' || CAST(round_even((event_id % 101) / 100.0::DOUBLE * 100, 0) AS BIGINT) || '% confidence)' WHEN 4 THEN 'Slide ' || event_id ELSE 'Document level' END AS display,
+@query("source_map_locations", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PDF page ' || event_id WHEN 1 THEN 'Document-level fallback' WHEN 2 THEN 'Sheet Sales' WHEN 3 THEN 'OCR p (' || CAST(round_even((event_id % 101) / 100.0::DOUBLE * 100, 0) AS BIGINT) || '% confidence)' WHEN 4 THEN 'Slide ' || event_id ELSE 'Document-level fallback' END AS display,
  event_id % 6 IN (1, 5) AS fallback FROM events""")
 def source_map_locations(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions.text import TOKEN_SQL, token_estimate
+from docmill.functions.text import TOKEN_SQL
+from docmill.operators.blocks import FLUSH_CHARS, FLUSH_ROWS, sentence_blocks, split_oversized, tokens
 from docmill.registry import query, table
 
 TARGET, MOST = 4000, 6000
@@ -16,47 +22,95 @@ def check_limits(target: int, most: int) -> None:
         raise ValueError("a target is at least 20 tokens, the most no less than the target")
 
 
-def group_blocks(blocks: Column, prefix: Column, target: int, most: int) -> Column:
-    """The chunk number of each block, from an array of (tokens, heading): a chunk ends before a heading, before what would pass most, and before what would
-    pass target unless a heading would be left at its end. prefix: the tokens that every chunk starts with."""
-    state = F.struct(F.lit(1).alias("chunk"), prefix.cast("long").alias("used"), F.lit(False).alias("open"), F.lit(False).alias("last_heading"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        total = acc.used + x.tokens
-        flush = acc.open & (x.heading | (total > most) | ((total > target) & ~acc.last_heading))
-        chunk = acc.chunk + flush.cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(flush, prefix + x.tokens).otherwise(total).cast("long").alias("used"), F.lit(True).alias("open"), x.heading.alias("last_heading"), F.concat(acc.out, F.array(chunk)).alias("out"))
-
-    return F.aggregate(blocks, state, step, lambda acc: acc.out)
+CHUNK = "doc_id long, chunk long, title string, content string, estimated_tokens long, labels array<string>"
+_HEAD = re.compile(r"^(#{1,6})\s+(\S.*?)\s*$", re.DOTALL)  # a heading is a block of one line
+
+
+def grouped(blocks: list[tuple[str, str]], target: int, most: int) -> list[tuple[str, str, int, list[str]]]:
+    """(title, content, tokens, labels) of the chunks of (content, label): a chunk ends before a heading, before what would pass most, and before what would
+    pass target unless a heading would be left at its end. The first level-1 heading heads every chunk."""
+    root = next((k for k, (text, _) in enumerate(blocks) if re.match(r"#\s+", text)), None)
+    lead = [] if root is None else [blocks[root][0]]
+    rest = [x for k, x in enumerate(blocks) if k != root]
+    prefix = tokens(lead[0]) if lead else 0
+    groups: list[list[tuple[str, str]]] = []
+    mine: list[tuple[str, str]] = []
+    used, after_heading = prefix, False
+    for text, label in rest:
+        cost, heading = tokens(text), bool(re.match(r"#{1,6}\s+\S", text))
+        if mine and (heading or used + cost > most or (used + cost > target and not after_heading)):
+            groups.append(mine)
+            mine, used = [], prefix
+        mine.append((text, label))
+        used, after_heading = used + cost, heading
+    if mine or not groups:
+        groups.append(mine)
+    out = []
+    for k, group in enumerate(groups, start=1):
+        head = next((m for text, _ in group if (m := _HEAD.match(text))), None)
+        content = "\n\n".join(lead + [text for text, _ in group]).strip() + "\n"
+        out.append((head[2] if head else f"Part {k}", content, tokens(content), list(dict.fromkeys(label for _, label in group if label))))
+    return out
+
+
+def split_blocks(text: str, spans: list[dict], most: int) -> list[tuple[str, str]]:
+    """(content, label) of the sentence blocks of a text, cut to what a chunk may hold beside the first level-1 heading.
+
+    A block's label is that of the first span with the line in which the block is found, from where the one before it ended, else from the start.
+    """
+    whole = sentence_blocks(text)
+    root = next((k for k, x in enumerate(whole) if re.match(r"#\s+", x)), None)
+    limit = most if root is None else max(1, most - tokens(whole[root]))
+    out, at, line, seen = [], 0, 1, 0
+    for k, block in enumerate(whole):
+        for piece in [block] if k == root else split_oversized(block, limit):
+            if k == root:
+                out.append((piece, ""))
+                continue
+            found = text.find(piece, at)
+            found = text.find(piece) if found < 0 else found
+            label = ""
+            if found >= 0:
+                at = found + len(piece)
+                line = line + text.count("\n", seen, found) if found >= seen else 1 + text.count("\n", 0, found)
+                seen = found
+                label = next((s["label"] for s in spans if s["start_line"] <= line <= s["end_line"]), "")
+            out.append((piece, label))
+    return out
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], target: int, most: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
+    names = [f.split()[0] for f in CHUNK.split(", ")]
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for doc, *rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            blocks = split_blocks(rest[0] or "", rest[1] or [], most) if whole else [(b["content"] or "", b["label"] or "") for b in rest[0] or []]
+            made = grouped(blocks, target, most)
+            rows += [(doc, k, *chunk) for k, chunk in enumerate(made, start=1)]
+            size += sum(len(chunk[1]) for chunk in made)
+            if len(rows) >= FLUSH_ROWS or size >= FLUSH_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def chunk_rows(docs: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
     """doc_id, chunk, title, content, estimated_tokens, labels of (doc_id, blocks: array of (content, label)).
 
-    The first level-1 heading heads every chunk. A chunk's title is its first heading, else "Part n"; its labels are those of its blocks, each once, in order.
-    A document without blocks is one empty chunk.
+    A chunk's title is its first heading, else "Part n"; its labels are those of its blocks, each once, in order. A document without blocks is one empty
+    chunk. Time and memory grow with a document's length.
     """
     check_limits(target, most)
-    heading = lambda text: text.rlike(r"^#{1,6}\s+\S")
-    root = F.get(F.filter("blocks", lambda b: b.content.rlike(r"^#\s+")), 0).content
-    d = docs.select("doc_id", F.coalesce("blocks", F.array().cast("array<struct<content:string,label:string>>")).alias("blocks"))
-    d = d.select("doc_id", "blocks", root.alias("root"))
-    at = F.array_position(F.transform("blocks", lambda b: b.content), F.col("root"))
-    d = d.withColumn("blocks", F.when(F.col("root").isNotNull(), F.filter("blocks", lambda b, i: i + 1 != at)).otherwise(F.col("blocks")))
-    d = d.withColumn("costs", F.transform("blocks", lambda b: F.struct(token_estimate(b.content).alias("tokens"), heading(b.content).alias("heading"))))
-    prefix = F.when(F.col("root").isNotNull(), token_estimate(F.col("root"))).otherwise(F.lit(0)).cast("long")
-    d = d.withColumn("prefix", prefix).withColumn("of", group_blocks(F.col("costs"), F.col("prefix"), target, most))
-    numbers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(F.array_max("of"), F.lit(1))))
-    d = d.select("doc_id", "blocks", "of", "root", F.explode(numbers).alias("chunk"))
-    mine = F.filter("blocks", lambda b, i: F.get("of", i) == F.col("chunk"))
-    d = d.select("doc_id", "chunk", "root", mine.alias("mine"))
-    parts = F.concat(F.when(F.col("root").isNotNull(), F.array("root")).otherwise(F.array().cast("array<string>")), F.transform("mine", lambda b: b.content))
-    content = F.concat(F.trim(F.array_join(parts, "\n\n")), F.lit("\n"))
-    first = F.get(F.filter("mine", lambda b: heading(b.content)), 0).content
-    title = F.coalesce(F.regexp_extract(first, r"^#{1,6}\s+(.*?)\s*$", 1), F.concat(F.lit("Part "), F.col("chunk").cast("string")))
-    labels = F.array_distinct(F.filter(F.transform("mine", lambda b: b.label), lambda x: x != ""))
-    d = d.select("doc_id", F.col("chunk").cast("long").alias("chunk"), title.alias("title"), content.alias("content"), labels.alias("labels"))
-    return d.select("doc_id", "chunk", "title", "content", token_estimate(F.col("content")).alias("estimated_tokens"), "labels")
+    return docs.select("doc_id", "blocks").mapInArrow(partial(_chunked, target=target, most=most, whole=False), CHUNK)
+
+
+def split_documents(docs: DataFrame, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """The chunks of (doc_id, markdown, spans): sentence blocks, oversized ones cut, labelled by their places."""
+    check_limits(target, most)
+    return docs.select("doc_id", "markdown", "spans").mapInArrow(partial(_chunked, target=target, most=most, whole=True), CHUNK)
 
 
 def conversation_blocks(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,12 +47,12 @@ def block_id() -> Column:
     return F.concat("source_id", F.format_string("-block-%04d", F.col("block_order")))
 
 
-def render(header: Column) -> Column:
-    """A block as it stands in a pack; header: whether its source's heading comes first."""
+def render(header: Column, root: str = "../sources/") -> Column:
+    """A block as it stands in a pack, its asset links below root; header: whether its source's heading comes first."""
     labels = F.array_join(F.array_distinct(F.filter("labels", lambda x: x != "")), ", ")
     note = F.concat(F.lit("<!-- block: "), block_id(), F.lit(" | source: "), F.col("source_id"), F.when(labels != "", F.concat(F.lit(" | provenance: "), labels)).otherwise(F.lit("")), F.lit(" -->\n\n"))
     title = F.when(header, F.concat(F.lit("## Source "), F.col("source_id"), F.lit(" — "), F.col("display_name"), F.lit("\n\n"))).otherwise(F.lit(""))
-    return F.concat(title, note, link_assets(F.col("content"), F.concat(F.lit("../sources/"), F.col("source_id"), F.lit("/assets/"))))
+    return F.concat(title, note, link_assets(F.col("content"), F.concat(F.lit(root), F.col("source_id"), F.lit("/assets/"))))
 
 
 def assign(blocks: DataFrame, budget: int | None) -> DataFrame:
@@ -179,11 +179,14 @@ def context_pack_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return assign(conversation_blocks(spark, sf), 2000)
 
 
-@query("context_packs", _SQL + f""", k AS (SELECT p.job, p.pack, count(*) AS n_blocks, count(DISTINCT p.src) AS n_sources, bool_or(atomic) AS atomic, string_agg(CASE WHEN p.head THEN full_body ELSE body END, chr(10) || chr(10) ORDER BY p.i) AS body FROM p JOIN c USING (job, i) GROUP BY p.job, p.pack),
+_PAGES_SQL = f""", k AS (SELECT p.job, p.pack, count(*) AS n_blocks, count(DISTINCT p.src) AS n_sources, bool_or(atomic) AS atomic, string_agg(CASE WHEN p.head THEN full_body ELSE body END, chr(10) || chr(10) ORDER BY p.i) AS body FROM p JOIN c USING (job, i) GROUP BY p.job, p.pack),
 n AS (SELECT job, pack, string_agg('- ' || name, chr(10) ORDER BY src) AS names FROM (SELECT DISTINCT p.job, p.pack, p.src, name FROM p JOIN c USING (job, i)) GROUP BY job, pack),
 t AS (SELECT k.*, names, max(k.pack) OVER (PARTITION BY k.job) AS n_packs FROM k JOIN n USING (job, pack)),
 e AS (SELECT *, '# Context Pack ' || pack || ' of ' || n_packs || chr(10) || chr(10) || 'Estimated tokens: ~0' || chr(10) || chr(10) || 'Sources included:' || chr(10) || names || chr(10) || chr(10) || body AS page FROM t),
-f AS (SELECT *, {_tokens('page')} AS estimated_tokens FROM e)
+f AS (SELECT *, {_tokens('page')} AS estimated_tokens FROM e)"""
+
+
+@query("context_packs", _SQL + _PAGES_SQL + f"""
 SELECT job AS pack_job, pack, n_packs, n_blocks, n_sources, estimated_tokens, estimated_tokens > 2000 AS over_budget,
  CASE WHEN estimated_tokens > 2000 AND n_blocks = 1 AND atomic THEN '{ATOMIC_REASON}' WHEN estimated_tokens > 2000 THEN '{BUDGET_REASON}' ELSE '' END AS overflow_reason FROM f""")
 def context_packs(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import records as R
+from docmill.functions.lines import lines_of
 from docmill.operators.documents import COSTS, _ISSUES_SQL, quality_issues
-from docmill.operators.rules import lines_of
 from docmill.registry import query, table
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions.lines import lines_of
 from docmill.functions.text import line_form, token_estimate
 from docmill.operators.documents import _LINES_SQL, COSTS, page_lines
 from docmill.registry import query, table
@@ -20,12 +21,6 @@ OFFICE = (".doc", ".docx", ".ppt", ".pptx")
 ISSUE = "array<struct<rule_no:int,code:string,severity:string,line:int>>"
 
 
-def lines_of(text: Column) -> Column:
-    """Lines, ended as Python's splitlines() ends them, without the empty one behind a last line end; a null or empty text has none."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n|[\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]", "\n")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, r"\n\z", ""), "\n"))
-
-
 def _at(lines: Column, pattern: str, bare: bool = False) -> Column:
     """Numbers (from 1) of the lines that a pattern fits."""
     return F.array_compact(F.transform(lines, lambda x, i: F.when((F.trim(x) if bare else x).rlike(pattern), i + 1)))
