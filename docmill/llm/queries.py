@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import embedding_dedup, html_extract, language_id, license_scan, minhash_dedup, packing, quality_rules, suffix_dedup, token_records, trie_bpe
+from docmill.llm import embedding_dedup, html_extract, language_id, license_scan, merkle_manifest, minhash_dedup, packing, quality_rules, suffix_dedup, token_records, trie_bpe
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.query,
     "op9_trie_bpe": trie_bpe.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_merkle_manifest": merkle_manifest.query,
 }
 
 SQL: dict[str, str] = {
     "op6_license_scan": license_scan.oracle(),
+    "op11_merkle_manifest": merkle_manifest.SQL,
 }
