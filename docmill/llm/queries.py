@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import embedding_dedup, html_extract, language_id, license_scan, merkle_manifest, minhash_dedup, packing, quality_rules, suffix_dedup, token_records, trie_bpe
+from docmill.llm import embedding_dedup, html_extract, language_id, license_scan, merkle_manifest, minhash_dedup, packing, pii, quality_rules, suffix_dedup, token_records, trie_bpe
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_trie_bpe": trie_bpe.query,
     "op10_quality_rules": quality_rules.query,
     "op11_merkle_manifest": merkle_manifest.query,
+    "op12_pii": pii.query,
 }
 
 SQL: dict[str, str] = {
     "op6_license_scan": license_scan.oracle(),
     "op11_merkle_manifest": merkle_manifest.SQL,
+    "op12_pii": pii.oracle(),
 }
