@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docmill.llm import embedding_dedup, html_extract, language_id, license_scan, merkle_manifest, minhash_dedup, packing, pii, quality_rules, suffix_dedup, token_records, trie_bpe
+from docmill.llm import embedding_dedup, html_extract, language_id, license_scan, merkle_manifest, minhash_dedup, packing, pii, quality_rules, suffix_dedup, token_alignment, token_records, trie_bpe
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
     "op11_merkle_manifest": merkle_manifest.query,
     "op12_pii": pii.query,
+    "op13_token_alignment": token_alignment.query,
 }
 
 SQL: dict[str, str] = {
