@@ -8,8 +8,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The ids of a document and of a vector are longs; a row without an id takes no part in matching.
 ID = "doc_id"
@@ -39,17 +40,29 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def orderable(df: DataFrame, column: str) -> Column:
+    """The column, as its JSON text where it holds a type without an order (map, variant)."""
+
+    def ordered(kind) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(ordered(f.dataType) for f in kind.fields)
+        return ordered(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+    return F.col(column) if ordered(df.schema[column].dataType) else F.to_json(F.struct(column))
+
+
 def unique_rows(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """The key (as a long) and the named columns only, one row for each key.
 
-    Rows that repeat a key stand for one document: of those the greatest (column by column, nulls smallest) is taken. Rows with a null key are
+    Rows that repeat a key stand for one document: of those the greatest (column by column, nulls smallest; maps and variants as JSON) is taken. Rows with a null key are
     left out here. The check for repeats reads the key column alone; only if it finds some are the rows themselves grouped.
     """
     rows = df.select(F.col(key).cast("long").alias(key), *columns).filter(F.col(key).isNotNull())
     repeated = rows.groupBy(key).count().filter("count > 1")
     if repeated.isEmpty():
         return rows
-    best = rows.groupBy(key).agg(F.max(F.struct(*columns)).alias("_row"))
+    greatest = F.struct(*[orderable(rows, c).alias(f"o{k}") for k, c in enumerate(columns)])
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*columns), greatest).alias("_row"))
     return best.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 

@@ -7,8 +7,9 @@ tokens, so normalised by length, of log(target share / raw share), and its pair_
 are added: an n-gram that the target lacks costs as much whether it is rare or not.
 
 Rare tokens share buckets with others, and fewer are rare in larger corpora, so no threshold fits every corpus. Both come from the trusted documents:
-each is scored by the counts of the other half of them, and the scores that all but one in a thousand reach are the least allowed. A text that passes
-the base rules is kept if it reaches both.
+each is scored by the counts of the other half of them, and the scores that all but one in a thousand reach are the least allowed. They are found
+exactly, by counting scores in steps and then the one step that holds the rank in finer ones, so they don't depend on how rows are partitioned. A text
+that passes the base rules is kept if it reaches both.
 
 A text is read once: its measures and the buckets of its tokens are stored, and counting and scoring work on those. DataFrame functions only, and every
 document is counted and scored.
@@ -16,6 +17,8 @@ document is counted and scored.
 
 from __future__ import annotations
 
+import math
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,8 +31,9 @@ from docmill.llm._common import ID, stored
 BUCKETS = 1 << 16
 PRIOR = 1000.0
 UNIT = 1000  # a log-ratio is kept in thousandths
-LEAST_TRUSTED = 20  # trusted texts of LEAST_WORDS words; from fewer no threshold is set
+LEAST_TRUSTED = 20  # default of the caller's least number of trusted texts of LEAST_WORDS words; from fewer no threshold is set, with a warning
 BELOW = 0.001  # share of the trusted texts that may score below the threshold
+STEPS, FINE_STEPS = 10**4, 10**9  # of a score, in which ranks are found; scores lie within some 15 of 0, so 300,000 rows and then 100,000 reach the driver
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 
@@ -133,8 +137,44 @@ def _counted(df: DataFrame, folds: int = 1) -> np.ndarray:
     return out
 
 
-def learn(texts: DataFrame, labels: DataFrame) -> Model:
-    """The model for rows of measured(). labels: doc_id, quality, toxic; a document is trusted if no row objects. Without trusted ones all ratios are 0."""
+def _steps(scores: DataFrame, of: int, within: dict[str, int] | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each score the steps that occur, ascending, and how often; only of rows within these coarse steps."""
+    each = [F.struct(F.lit(c).alias("of"), F.col(c).alias("score")) for c in scores.columns]
+    rows = scores.select(F.inline(F.array(*each))).filter("score is not null")
+    if within:
+        rows = rows.filter(reduce(Column.__or__, [(F.col("of") == c) & (F.floor(F.col("score") * STEPS) == k) for c, k in within.items()]))
+    found = rows.groupBy("of", F.floor(F.col("score") * of).alias("step")).agg(F.count("*").alias("n")).toArrow()
+    name, step, n = (found.column(c).to_numpy() for c in ("of", "step", "n"))
+    out = {}
+    for c in scores.columns:
+        own = name == c
+        order = np.argsort(step[own])
+        out[c] = step[own][order], n[own][order]
+    return out
+
+
+def exact_least(scores: DataFrame, below: float = BELOW) -> tuple[int, tuple[float, ...] | None]:
+    """How many scores the columns have (at least), and for each the value of the rank that the share `below` of them doesn't pass: the same under any partitioning."""
+    coarse = _steps(scores, STEPS)
+    n = min(int(c[1].sum()) for c in coarse.values())
+    if not n:
+        return 0, None
+    place, rank = {}, {}
+    for c, (step, count) in coarse.items():
+        wanted = max(1, math.ceil(below * int(count.sum())))
+        ends = np.cumsum(count)
+        k = int(np.searchsorted(ends, wanted))
+        place[c], rank[c] = int(step[k]), wanted - int(ends[k] - count[k])
+    fine = _steps(scores, FINE_STEPS, place)
+    # a thousandth of a step lower, so that a score on the step itself reaches it
+    return n, tuple((int(step[np.searchsorted(np.cumsum(count), rank[c])]) - 0.001) / FINE_STEPS for c, (step, count) in fine.items())
+
+
+def learn(texts: DataFrame, labels: DataFrame, least_trusted: int = LEAST_TRUSTED) -> Model:
+    """The model for rows of measured(). labels: doc_id, quality, toxic; a document is trusted if no row objects. Without trusted ones all ratios are 0.
+
+    With fewer than least_trusted trusted texts of LEAST_WORDS words the model has no threshold (least is None) and a warning says so.
+    """
     good = (F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)
     trusted = labels.groupBy(F.col(ID).cast("long").alias("id")).agg(good.alias("good")).filter("good").select("id")
     raw = _counted(texts.select("tokens"))[0]
@@ -146,9 +186,11 @@ def learn(texts: DataFrame, labels: DataFrame) -> Model:
         return NO_MODEL
     of_other = [F.when(F.col("fold") == 0, _table(a)).otherwise(_table(b)) for a, b in zip(_ratios(folds[1], raw), _ratios(folds[0], raw), strict=True)]
     held_out = _scored(known.filter(F.col("n_words") >= LEAST_WORDS), *of_other)
-    least = lambda c: F.percentile_approx(c, BELOW, 10_000).alias(c)
-    at = held_out.agg(F.count("pair_score").alias("n"), least("score"), least("pair_score")).first()
-    return Model(*_ratios(folds.sum(axis=0), raw), (at.score, at.pair_score) if at.n >= LEAST_TRUSTED else None)
+    n, least = exact_least(stored(held_out.select(*SCORES), "trusted-scores"))
+    if n < least_trusted:
+        warnings.warn(f"{n} trusted texts of {LEAST_WORDS} words, {least_trusted} are asked for: no threshold is set", stacklevel=2)
+        least = None
+    return Model(*_ratios(folds.sum(axis=0), raw), least)
 
 
 def judge(texts: DataFrame, model: Model) -> DataFrame:
@@ -158,10 +200,10 @@ def judge(texts: DataFrame, model: Model) -> DataFrame:
     return df.withColumn("kept", reduce(Column.__and__, reached, ~F.col("base_failed")))
 
 
-def judged(documents: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+def judged(documents: DataFrame, labels: DataFrame, *columns: str, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
     """c0, c1, ... (the named columns of documents), MEASURES, SCORES and kept of every row."""
     texts = stored(measured(documents, *columns), "measured")
-    return judge(texts, learn(texts, labels)).drop("id")
+    return judge(texts, learn(texts, labels, least_trusted)).drop("id")
 
 
 def kept_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -170,14 +212,14 @@ def kept_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(documents.columns)])
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
     """documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, pair_score and kept.
 
     A row is judged by its text alone, so rows with a null or repeated doc_id are rows like any other; columns of these names are replaced, and
     all others stay, whatever their names.
     """
     own = [c for c in documents.columns if c.lower() not in (*MEASURES, *SCORES, "kept")]
-    rows = judged(documents, labels, *own)
+    rows = judged(documents, labels, *own, least_trusted=least_trusted)
     return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], *MEASURES, *SCORES, "kept")
 
 

@@ -95,3 +95,14 @@ def test_long_texts(spark):
     want = repeat_brute([(1, long), (2, long + " the end")])
     assert {i: len(r.text.encode()) for i, r in got.items()} == pytest.approx({i: len(t.encode()) - want[i][1] for i, t in ((1, long), (2, long + " the end"))}, abs=8)
     assert sum(r.length for r in corpus_pipeline.best_fit(spark, docs, d).collect()) > 200_000
+
+
+def test_columns_without_an_order(spark):
+    """A map and a variant column pass the stages that group repeated ids; of rows with one id the greatest stays."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, 3, {"k": 1}), (1, text, 3, {"k": 2}), (2, "other " + text[::-1], 4, None), (2, None, 5, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, tags map<string,int>").selectExpr("*", "parse_json('{\"a\": 1}') AS v")
+    kept = {r.doc_id: r for r in corpus_pipeline.near_dedup(spark, df, "").selectExpr("doc_id", "text", "tags", "to_json(v) AS v").collect()}
+    assert len(kept) == 2 and kept[1].tags == {"k": 2} and kept[1].v == '{"a":1}' and kept[2].text == rows[2][1]
+    cut = corpus_pipeline.substring_dedup(spark, df, "")
+    assert cut.columns == df.columns and {r.doc_id for r in cut.select("doc_id", "tags").collect()} == {1, 2}

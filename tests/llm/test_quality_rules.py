@@ -85,6 +85,30 @@ def test_equals_plain_python(spark, rows):
     assert not all(g.kept for g in got.values() if not g.base_failed) and sum(g.kept for g in got.values()) > 20
 
 
+def test_thresholds_do_not_depend_on_partitions(spark):
+    """45,000 scores, dealt over 4, 9 and 17 partitions: the exact rank each time; ties, nulls and few rows as well."""
+    r = random.Random(4)
+    scores = [(round(r.gauss(0.4, 0.3), r.choice([2, 15])), r.gauss(-0.1, 0.1) if k % 50 else None) for k in range(45_000)]
+    exact = [sorted(x for x in c if x is not None) for c in zip(*scores)]
+    exact = [c[max(0, math.ceil(Q.BELOW * len(c)) - 1)] for c in exact]
+    got = {Q.exact_least(spark.createDataFrame(scores, "score double, pair_score double").repartition(n)) for n in (4, 9, 17)}
+    assert len(got) == 1
+    n, least = got.pop()
+    assert n == 44_100 and all(0 <= x - y < 2e-9 for x, y in zip(exact, least))
+    few = spark.createDataFrame([(0.5, 0.25), (-0.5, None)], "score double, pair_score double")
+    assert Q.exact_least(few) == (1, (pytest.approx(-0.5), pytest.approx(0.25)))
+    assert Q.exact_least(few.limit(0)) == (0, None)
+
+
+def test_least_number_of_trusted_texts_is_the_callers(spark):
+    text = lambda k: " ".join(f"w{(k * 7 + i) % 90}" for i in range(60))
+    df = spark.createDataFrame([(k, text(k)) for k in range(30)] + [(99, " ".join("zz#q" + str(i) for i in range(60)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(19)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="no threshold"):
+        assert all(r.kept for r in Q.quality_rules(df, labels).collect())
+    assert {r.doc_id for r in Q.quality_rules(df, labels, least_trusted=5).collect() if not r.kept} >= {99}
+
+
 def test_no_python_in_the_plan(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plan = Q.judge(Q.measured(df), Q.NO_MODEL)._jdf.queryExecution().executedPlan().toString()
