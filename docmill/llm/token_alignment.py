@@ -35,7 +35,7 @@ STRIPES = 128  # of B ids; a block has B's vocabulary / STRIPES rows of A's voca
 PART = 4 << 20  # links (summed by document and pair) that a part of a stripe has at about most
 PACK = 1 << 20  # links that are packed at a time, over all stripes
 SLICE = 1 << 20  # code points of text that are encoded at a time
-WORDS_HELD, CODES_HELD = 200_000, 32 << 20  # chunks, and code points of them, that a worker keeps; beyond that it starts anew
+WORDS_HELD, CODES_HELD = 300_000, 32 << 20  # chunks, and code points of them, that a worker keeps; beyond that it starts anew
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -67,50 +67,59 @@ class PairCoder:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"{path_b}: pieces reach over spaces, so chunks can't be encoded by themselves")
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        written = [f"{i}{mark}".encode() for i in range(max(len(self.size_a), len(self.size_b))) for mark in ",|;"]
+        self.written = np.frombuffer(b"".join(written), np.uint8)
+        self.written_size = np.array([len(x) for x in written], np.int64)
+        self.written_at = np.cumsum(self.written_size) - self.written_size
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.codes = 0
-        self.groups: list[bytes] = []  # of each chunk; None in place of those that their tokens don't spell
-        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, whether it isn't spelled
+        self.groups: list[bytes] = []  # of each chunk, every group ended by ";"
+        self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, whether its tokens don't spell it
         self.first = np.zeros(0, np.int64)  # place of its first link
         self.links = np.zeros((0, 2), np.uint32)
 
-    def _align(self, chunk: str, a: list[int], b: list[int]) -> tuple[list[bytes], list[tuple[int, int]]] | None:
-        spelled = f" {chunk}".encode()
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(bytes_a) != spelled or b"".join(bytes_b) != spelled:
-            return None
-        groups, links = [], []
-        i = j = at_a = at_b = from_a = from_b = 0
-        while i < len(a):
-            at_a += len(bytes_a[i])
-            i += 1
-            while at_b < at_a:
-                at_b += len(bytes_b[j])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}".encode())
-                links.append((a[i - 1], b[j - 1]))
-                from_a, from_b = i, j
-        return groups, links
+    def _spelled(self, chunks: list[str], of_a: list[list[int]], of_b: list[list[int]]) -> np.ndarray:
+        """Whether both tokenizers' tokens spell a space and the chunk."""
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        if b"".join(map(bytes_a, chain.from_iterable(of_a))) == b"".join(map(bytes_b, chain.from_iterable(of_b))) == f" {' '.join(chunks)}".encode():
+            return np.ones(len(chunks), bool)
+        each = zip(chunks, of_a, of_b, strict=True)
+        return np.array([b"".join(map(bytes_a, a)) == b"".join(map(bytes_b, b)) == f" {c}".encode() for c, a, b in each], bool)
 
     def _learn(self, chunks: list[str]) -> None:
-        of_a = [e.ids for e in self.a.encode_batch([f" {c}" for c in chunks], add_special_tokens=False)]
+        """Encodes new chunks and lays both sequences of tokens, one chunk behind the other, over the bytes that they spell."""
+        of_a = [e.ids for e in self.a.encode_batch_fast([f" {c}" for c in chunks], add_special_tokens=False)]
         of_b = self.b.encode(chunks, num_threads=1)
-        counts, links = [], []
-        for chunk, a, b in zip(chunks, of_a, of_b, strict=True):
-            made = self._align(chunk, a, b)
-            self.known[chunk] = len(self.known)
-            self.codes += len(chunk)
-            self.groups.append(b";".join(made[0]) if made else b"")
-            counts.append((len(a), len(b), len(made[1]), 0) if made else (0, 0, 0, 1))
-            links += made[1] if made else []
-        counts = np.array(counts, np.int64).reshape(-1, 4)
-        self.first = np.append(self.first, len(self.links) + np.cumsum(counts[:, 2]) - counts[:, 2])
-        self.counts = np.concatenate([self.counts, counts])
-        self.links = np.concatenate([self.links, np.array(links, np.uint32).reshape(-1, 2)])
+        spelled = self._spelled(chunks, of_a, of_b)
+        for k in np.flatnonzero(~spelled).tolist():
+            of_a[k] = of_b[k] = []
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (of_a, of_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((of_a, n_a), (of_b, n_b)))
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        total = int(end_a[-1]) if len(a) else 0
+        ends = np.zeros((2, total + 1), bool)
+        ends[0, end_a] = ends[1, end_b] = True
+        last_a, last_b = ends[1, end_a], ends[0, end_b]  # tokens that end where one of the other tokenizer does
+        # groups in order, in each the tokens of A and then those of B
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = np.concatenate([3 * a + last_a, 3 * b + 2 * last_b])[order]  # followed by "," or "|", by "," or ";"
+        data = self.written[ranges(self.written_at[written], self.written_size[written])]
+        # a chunk ends with its last group, so its text is as long as what its tokens are written as
+        up_to = np.concatenate([[0], np.cumsum(self.written_size[3 * a])])[np.cumsum(n_a)] + np.concatenate([[0], np.cumsum(self.written_size[3 * b])])[np.cumsum(n_b)]
+        data, at = data.tobytes(), [0, *up_to.tolist()]
+        self.groups += [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        n_links = np.diff(np.concatenate([[0], np.cumsum(last_a)])[np.concatenate([[0], np.cumsum(n_a)])])
+        self.first = np.append(self.first, len(self.links) + np.cumsum(n_links) - n_links)
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_links, ~spelled], 1)])
+        self.links = np.concatenate([self.links, np.stack([a[last_a], b[last_b]], 1).astype(np.uint32)])
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.codes += sum(map(len, chunks))
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The chunks of all texts as numbers, and how many each text has; an empty text has none."""
@@ -185,7 +194,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, stripes
             total = np.where(unspelled[:, None], 0, np.diff(total[ends], axis=0))
             groups = []
             for k, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                written = b";".join([coder.groups[w] for w in number[x:y].tolist()]) if not unspelled[k] else b""
+                written = b"".join(map(coder.groups.__getitem__, number[x:y].tolist()))[:-1] if not unspelled[k] else b""
                 groups.append((hashlib.sha256(written).hexdigest() if digest else written.decode()) if written else "")
             good = ~unspelled[of]
             (of, number), n = summed([of[good], number[good]], np.ones(int(good.sum()), np.int64))
