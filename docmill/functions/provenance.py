@@ -12,7 +12,9 @@ SPAN = "struct<source_type:string,label:string,ordinal:int,start_line:int,end_li
 # The markers, and the labels that other programs read.
 SLIDE = r"^\s*<!--\s*(?i:slide number)\s*:\s*(\d+)\s*-->\s*$"
 PAGE = r"^\s*<!--\s*(?i:page)\s*:\s*(\d+)\s*-->\s*$"
-SHEET = r"^\s*#\s+工作表：(.+?)\s*$"
+SHEET_LABEL = "工作表："
+SHEET = rf"^\s*#\s+{SHEET_LABEL}(.+?)\s*$"
+APPENDIX = "## OCR 补充文本"
 RECOGNISED = r"^\s*###\s+(.+?)（平均置信度\s+([\d.]+)%）\s*$"
 WHOLE = {".doc": "Word 文档", ".docx": "Word 文档", ".ppt": "PowerPoint 文档", ".pptx": "PowerPoint 文档", ".xls": "Excel 工作簿", ".xlsx": "Excel 工作簿", ".pdf": "PDF 文档"}
 OTHER = "源文档"
@@ -55,7 +57,7 @@ def location_label(span: Column) -> Column:
     return (
         F.when((span["source_type"] == "page") & span["ordinal"].isNotNull(), F.format_string("第 %d 页", span["ordinal"]))
         .when((span["source_type"] == "slide") & span["ordinal"].isNotNull(), F.format_string("第 %d 张幻灯片", span["ordinal"]))
-        .when((span["source_type"] == "worksheet") & (name != ""), F.concat(F.lit("工作表："), name))
+        .when((span["source_type"] == "worksheet") & (name != ""), F.concat(F.lit(SHEET_LABEL), name))
         .when(span["source_type"] == "ocr", F.concat(F.when(name != "", F.concat(F.lit("OCR："), name)).otherwise("OCR"), sure))
         .otherwise(NO_PLACE)
     )

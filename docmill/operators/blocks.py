@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -153,6 +154,30 @@ def split_oversized(text: str, limit: int) -> list[str]:
     return [p for p in pieces if p]
 
 
+_PAGE = re.compile(r"<!--\s*(?:slide number|page)\s*:\s*\d+\s*-->", re.IGNORECASE)
+_NO_HEADER = ("#", "<!--", "|", "```", "~~~")
+
+
+def line_form(line: str) -> str:
+    """A line without what changes from page to page: white space single, numbers alike."""
+    return re.sub(r"\d+", "<num>", " ".join(line.split()))
+
+
+def without_running_lines(text: str) -> str:
+    """The text without lines that stand, numbers aside, on at least three pages and six tenths of all; a page begins at its marker. Headings, comments, tables,
+    fences, rules and lines of over 160 characters are no running lines by themselves. A text of fewer than three pages stays as it is."""
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    starts = [k for k, line in enumerate(lines) if _PAGE.fullmatch(line.strip())]
+    if len(starts) < 3:
+        return text
+    pages = Counter()
+    for first, end in zip(starts, [*starts[1:], len(lines)], strict=True):
+        bare = (line.strip() for line in lines[first:end])
+        pages.update({line_form(x) for x in bare if x and x != "---" and len(x) <= 160 and not x.startswith(_NO_HEADER)})
+    running = {form for form, n in pages.items() if n >= 3 and 10 * n >= 6 * len(starts)}
+    return "\n".join(line for line in lines if line_form(line) not in running) if running else text
+
+
 def clean(text: str) -> str:
     """Line ends made equal, blank lines single outside fences, heading levels clamped, LaTeX brackets as dollars, an open fence closed, one line end."""
     out: list[str] = []
@@ -195,7 +220,7 @@ def rebase_assets(text: str, base: str) -> str:
     return "\n".join(out)
 
 
-BLOCK = "doc_id long, block_no int, content string, start_line int, end_line int, atomic boolean, heading_context array<string>, tokens long"
+BLOCK = "block_no int, content string, start_line int, end_line int, atomic boolean, heading_context array<string>, tokens long"
 
 
 FLUSH_ROWS, FLUSH_CHARS = 4096, 4_000_000  # of an outgoing batch
@@ -203,32 +228,35 @@ FLUSH_ROWS, FLUSH_CHARS = 4096, 4_000_000  # of an outgoing batch
 
 def _parsed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in BLOCK.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
-    rows: list[tuple] = []
-    size = 0
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string()), pa.int64()]
 
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    def batch_of(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        of, *columns = zip(*rows, strict=True)
+        keys = [c.take(pa.array(of, pa.int64())) for c in batch.columns[:-1]]
+        return pa.RecordBatch.from_arrays(keys + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*batch.schema.names[:-1], *names])
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows: list[tuple] = []
+        size = 0
+        for k, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
             number = 0
             for content, first, last, atomic, above in parse(text or ""):
                 for piece in [content] if atomic else split_oversized(content, limit):
                     number += 1
-                    rows.append((doc, number, piece, first, last, atomic, above, tokens(piece)))
+                    rows.append((k, number, piece, first, last, atomic, above, tokens(piece)))
                     size += len(piece)
             if len(rows) >= FLUSH_ROWS or size >= FLUSH_CHARS:
-                yield batch_of()
-                rows.clear()
-                size = 0
-    if rows:
-        yield batch_of()
+                yield batch_of(batch, rows)
+                rows, size = [], 0
+        if rows:
+            yield batch_of(batch, rows)
 
 
-def structural_blocks(docs: DataFrame, limit: int = FRAGMENT) -> DataFrame:
-    """Blocks of (doc_id, markdown): a null or empty text has none; each row by itself."""
-    return docs.select("doc_id", "markdown").mapInArrow(partial(_parsed, limit=limit), BLOCK)
+def structural_blocks(docs: DataFrame, limit: int = FRAGMENT, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Blocks of (keys, markdown), each with the keys of its document: a null or empty text has none; each row by itself."""
+    own = docs.select(*keys, "markdown")
+    schema = ", ".join(f"`{k}` {kind}" for k, kind in own.dtypes[:-1])
+    return own.mapInArrow(partial(_parsed, limit=limit), f"{schema}, {BLOCK}")
 
 
 def order_documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,13 +14,14 @@ from pyspark.sql.window import Window
 from docmill.functions.text import TOKEN_SQL, token_estimate
 from docmill.operators.blocks import structural_blocks
 from docmill.plans.next_fit import place
+from docmill.plans.stored import stored
 from docmill.registry import query, table
 
 SOFT_TARGET = 0.95
 LEAST_BUDGET, MOST_BUDGET = 1_000, 10_000_000
 KEY = ["pack_job", "source_order", "block_order"]
 
-# What may stand before a link to assets/, inline code, and the opening of a fence.
+# What may stand before a link to assets/, inline code, the opening of a fence, and the two reasons of an overflow that readers of reports know.
 _LINK = r"""(?i)(\]\(|\]:\s*|(?:src|href)=["'])(?:\./)?assets/"""
 _CODE = r"`+[^`\n]*?`+"
 _FENCED = r"^\s*(`{3,}|~{3,})"
@@ -108,10 +109,10 @@ def integrity(blocks: DataFrame, placed: DataFrame) -> DataFrame:
 
 def source_blocks(sources: DataFrame) -> DataFrame:
     """Blocks of (pack_job, source_order, display_name, content): structural parse, oversized text split, numbered within the source."""
-    s = sources.select("pack_job", "source_order", "display_name", F.format_string("source-%03d", "source_order").alias("source_id"), F.xxhash64("pack_job", "source_order").alias("_k"), "content")
-    parsed = structural_blocks(s.select(F.col("_k").alias("doc_id"), F.col("content").alias("markdown")))
-    parsed = parsed.select(F.col("doc_id").alias("_k"), F.col("block_no").cast("long").alias("block_order"), "content", "atomic", F.array(F.concat(F.lit("lines "), F.col("start_line"), F.lit("-"), F.col("end_line"))).alias("labels"))
-    return s.drop("content").join(parsed, "_k").drop("_k")
+    s = sources.select("pack_job", "source_order", "display_name", F.format_string("source-%03d", "source_order").alias("source_id"), F.col("content").alias("markdown"))
+    keys = ("pack_job", "source_order", "display_name", "source_id")
+    parsed = structural_blocks(s, keys=keys)
+    return parsed.select(*keys, F.col("block_no").cast("long").alias("block_order"), "content", "atomic", F.array(F.concat(F.lit("lines "), F.col("start_line"), F.lit("-"), F.col("end_line"))).alias("labels"))
 
 
 def write_context_pack(blocks: DataFrame, budget: int | None, path: str) -> None:
@@ -191,7 +192,7 @@ SELECT job AS pack_job, pack, n_packs, n_blocks, n_sources, estimated_tokens, es
  CASE WHEN estimated_tokens > 2000 AND n_blocks = 1 AND atomic THEN '{ATOMIC_REASON}' WHEN estimated_tokens > 2000 THEN '{BUDGET_REASON}' ELSE '' END AS overflow_reason FROM f""")
 def context_packs(spark: SparkSession, sf: str) -> DataFrame:
     b = conversation_blocks(spark, sf)
-    return packs(b, assign(b, 2000), 2000).drop("content")
+    return packs(b, stored(assign(b, 2000), "placed"), 2000).drop("content")
 
 
 @query("context_pack_integrity", _SQL + """, n AS (SELECT job, i, pack, CASE WHEN src % 7 = 3 THEN 0 WHEN src % 5 = 2 THEN 2 ELSE 1 END AS n FROM p),
@@ -200,6 +201,6 @@ SELECT job AS pack_job, input_blocks, packed_blocks, missing_blocks, duplicate_b
 def context_pack_integrity(spark: SparkSession, sf: str) -> DataFrame:
     """Integrity of packs that lost some sources, hold others twice, and in every fourth job are in reverse order."""
     b = conversation_blocks(spark, sf)
-    placed = assign(b, 2000).filter("source_order % 7 <> 3")
+    placed = stored(assign(b, 2000), "placed").filter("source_order % 7 <> 3")
     placed = placed.unionByName(placed.filter("source_order % 5 = 2"))
     return integrity(b, placed.withColumn("pack", F.when(F.col("pack_job") % 4 == 1, -F.col("pack")).otherwise(F.col("pack"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.lines import lines_of
+from docmill.functions.provenance import APPENDIX, SHEET_LABEL
 from docmill.functions.text import line_form, token_estimate
 from docmill.operators.documents import _LINES_SQL, COSTS, page_lines
 from docmill.registry import query, table
@@ -15,7 +16,7 @@ _FENCE = r"^\s*(`{3,}|~{3,})"
 _HEADING = r"^(#{1,6})\s+\S"
 _MARKER = r"^<!--\s*(?i:page|slide number)\s*:\s*\d+\s*-->$"
 _SLIDE = r"^<!--\s*(?i:slide number)\s*:\s*\d+\s*-->$"
-_IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
+IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
 _LOST = r"(?i)\[(?:Equation|公式)\]|\bOMML\b|�"
 OFFICE = (".doc", ".docx", ".ppt", ".pptx")
 ISSUE = "array<struct<rule_no:int,code:string,severity:string,line:int>>"
@@ -78,11 +79,16 @@ def issues(docs: DataFrame, assets: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def image_references(docs: DataFrame) -> DataFrame:
-    """doc_id, target, line of the images of (doc_id, markdown) that are not on the web: the target as written, without brackets, title and escapes."""
+    """doc_id, target, line, at (place in the line) of the images of (doc_id, markdown) that are not on the web: the target as written, without brackets, title and escapes."""
     seen = docs.filter(F.col("markdown").contains("![")).select("doc_id", F.posexplode(lines_of(F.col("markdown"))).alias("i", "l"))
-    refs = seen.select("doc_id", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("l", F.lit(_IMAGE), F.lit(2))).alias("raw"))
-    target = F.regexp_replace(F.btrim(F.regexp_extract(F.btrim(F.trim("raw"), F.lit("<>")), r"^(\S*)", 1), F.lit("<>")), r"\\", "/")
-    return refs.select("doc_id", F.coalesce(F.try_url_decode(target), target).alias("target"), "line").filter(~F.col("target").rlike("^(?i:https?|data):"))
+    refs = seen.select("doc_id", (F.col("i") + 1).alias("line"), F.posexplode(F.regexp_extract_all("l", F.lit(IMAGE), F.lit(2))).alias("at", "raw"))
+    return refs.select("doc_id", image_target(F.col("raw")).alias("target"), "line", "at").filter(~F.col("target").rlike("^(?i:https?|data):"))
+
+
+def image_target(raw: Column) -> Column:
+    """What an image names: without brackets, title and escapes, with slashes."""
+    target = F.regexp_replace(F.btrim(F.regexp_extract(F.btrim(F.trim(raw), F.lit("<>")), r"^(\S*)", 1), F.lit("<>")), r"\\", "/")
+    return F.coalesce(F.try_url_decode(target), target)
 
 
 def report(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def report(docs: DataFrame, found: DataFrame) -> DataFrame:
         cost = F.when(F.col("severity") == name, value).otherwise(cost)
     sums = found.groupBy("doc_id").agg(F.sum(cost).alias("cost"), F.count("*").alias("n_issues"))
     heads = F.size(F.filter(lines_of(F.col("markdown")), lambda x: x.rlike(_HEADING)))
-    images = F.regexp_count(F.coalesce("markdown", F.lit("")), F.lit(_IMAGE))
+    images = F.regexp_count(F.coalesce("markdown", F.lit("")), F.lit(IMAGE))
     d = docs.select("doc_id", heads.cast("long").alias("heading_count"), images.cast("long").alias("image_count"), token_estimate(F.col("markdown")).alias("estimated_tokens"))
     return d.join(sums, "doc_id", "left").select("doc_id", F.greatest(F.lit(0), 100 - F.coalesce("cost", F.lit(0))).cast("long").alias("score"), F.coalesce("n_issues", F.lit(0)).alias("n_issues"), "heading_count", "image_count", "estimated_tokens")
 
@@ -122,10 +128,15 @@ def without_repeats(pages: DataFrame) -> DataFrame:
     return kept.withColumn("text", text).filter(F.col("drop").isNull() | (F.col("text") != "")).select(*pages.columns)
 
 
+def recognised_section(label: Column, text: Column, confidence: Column) -> Column:
+    """A recognised page as a Markdown section, in the form that records.recognised_pages and spans read."""
+    return F.concat(F.lit("### "), label, F.format_string("（平均置信度 %.1f%%）\n\n", confidence * 100), F.trim(text))
+
+
 def appendix(pages: DataFrame) -> DataFrame:
     """doc_id, appendix: recognised pages as Markdown sections, in order, each with its confidence."""
-    part = F.format_string("### %s (mean confidence %.1f%%)\n\n%s\n", "label", F.col("confidence") * 100, F.trim("text"))
-    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", part.alias("part")))).alias("p")).select("doc_id", F.concat(F.lit("## Recognised text\n\n"), F.array_join(F.transform("p", lambda x: x.part), "\n")).alias("appendix"))
+    part = recognised_section(F.col("label"), F.col("text"), F.col("confidence"))
+    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", part.alias("part")))).alias("p")).select("doc_id", F.concat(F.lit(f"{APPENDIX}\n\n"), F.array_join(F.transform("p", lambda x: x.part), "\n\n"), F.lit("\n")).alias("appendix"))
 
 
 def separate_slides(markdown: Column) -> Column:
@@ -136,8 +147,8 @@ def separate_slides(markdown: Column) -> Column:
 
 
 def label_sheets(markdown: Column) -> Column:
-    """Level-2 headings of a workbook are its sheets: level 1, with the word."""
-    return F.regexp_replace(markdown, r"(?m)^##\s+(.+?)[ \t]*$", "# Sheet: $1")
+    """Level-2 headings of a workbook are its sheets: level 1, with the word by which spans know them."""
+    return F.regexp_replace(markdown, r"(?m)^##\s+(.+?)[ \t]*$", f"# {SHEET_LABEL}$1")
 
 
 def by_suffix(docs: DataFrame) -> DataFrame:

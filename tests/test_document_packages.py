@@ -1,5 +1,6 @@
 """Document packages: recognised pages, chunks and their labels, odd names, packages that are not whole; chunks against a plain loop."""
 
+import hashlib
 import json
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.errors import PySparkException
 
 from docmill.operators import chunks
 from docmill.operators import document_packages as D
-from docmill.sources.part_files import whole_files
+from docmill.operators.blocks import without_running_lines
+from docmill.sources.part_files import whole_files, write_listed
 
 
 def files(spark, rows, **options):
@@ -53,3 +55,46 @@ def test_labels_follow_places():
 def test_chunks_grow_with_the_document():
     made = chunks.grouped([("w " * 10, "x")] * 20_000, 100, 150)
     assert len(made) == 2_000 and made[0][0] == "Part 1" and made[0][3] == ["x"]
+
+
+def test_assets_round_trip(spark, tmp_path):
+    """Images given as bytes and as files elsewhere are copied byte for byte, each once, under names of their own; the rest stays where it was."""
+    big = bytes(range(256)) * 50_000
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/big.bin").write_bytes(big)
+    text = "# T\n\n![a](img/x%201.png) ![b](<other/X 1.png>) ![a](img/x%201.png \"t\")\n\n![c](a\\b.gif) ![w](https://e.org/i.png) ![u](big.bin)"
+    docs = spark.createDataFrame([(1, "a.md", text), (2, "b.md", "![u](big.bin)"), (3, "c.md", None)], "doc_id long, name string, markdown string")
+    rows = [(1, "img/x 1.png", b"one\x00\xff\r\n ", None), (1, "other/X", b"two", None), (1, "big.bin", None, f"file://{tmp_path}/in/big.bin"), (2, "big.bin", b"", None), (2, "unused.png", b"no", None)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, content binary, uri string")
+    root = f"file://{tmp_path}/out"
+    listing = {(r.key, r.path): (r.bytes, r.sha256) for r in write_listed(D.package_files(docs, "now", files=files), root).collect()}
+    out = tmp_path / "out"
+    made = {str(p.relative_to(out)): p.read_bytes() for p in out.rglob("*") if p.is_file() and not p.name.startswith(".")}
+    assert {f"{k}/{p}": (len(made[f"{k}/{p}"]), hashlib.sha256(made[f"{k}/{p}"]).hexdigest()) for k, p in listing} == {f"{k}/{p}": v for (k, p), v in listing.items()} and len(listing) == len(made)
+    assert {k: v for k, v in made.items() if "/assets/" in k} == {"1/assets/x-1.png": rows[0][2], "1/assets/X": b"two", "1/assets/big.bin": big, "2/assets/big.bin": b""}
+    content = made["1/content.md"].decode()
+    assert "![a](assets/x-1.png) ![b](assets/X) ![a](assets/x-1.png)" in content and "![c](a/b.gif) ![w](https://e.org/i.png) ![u](assets/big.bin)" in content
+    manifest = json.loads(made["1/manifest.json"])
+    assert manifest["assets"] == ["assets/X", "assets/big.bin", "assets/x-1.png"] and [w["code"] for w in manifest["warnings"]].count("missing_image") == 1
+    read = {(r.key, r.path): (bytes(r.content), r.bytes) for r in D.read_assets(spark, root).collect()}
+    assert read == {("1", "assets/x-1.png"): (rows[0][2], 8), ("1", "assets/X"): (b"two", 3), ("1", "assets/big.bin"): (big, len(big))}  # Spark's readers pass over empty files
+
+
+def test_sheets_and_running_heads(spark):
+    sheets = "## Sales\n\n| a |\n\n## Costs of 2024\n\ntext"
+    paged = "".join(f"<!-- Page: {k} -->\nRunning Head {k}\n\nown text {'abcde'[k]}\n" for k in range(5))
+    slides = "".join(f"<!-- Slide number: {k} -->\nsame foot\n" for k in range(2))
+    got = files(spark, [(1, "s.xlsx", sheets, None, None, None), (2, "p.pdf", paged, None, None, None), (3, "d.pptx", slides, None, None, None)])
+    spans = lambda k: [(s["source_type"], s["label"]) for s in json.loads(got[k, "manifest.json"])["provenance"]]
+    assert spans("1") == [("worksheet", "Sales"), ("worksheet", "Costs of 2024")] and got["1", "content.md"].startswith("# 工作表：Sales\n")
+    assert "Running" not in got["2", "content.md"] and got["2", "raw.md"].count("Running") == 5 and [k for k, _ in spans("2")] == ["page"] * 5
+    assert got["3", "content.md"].count("same foot") == 2  # two pages are too few to tell
+
+
+def test_running_lines_are_those_of_six_tenths():
+    page = lambda k, *lines: "\n".join([f"<!-- Page: {k} -->", *lines])
+    text = "\n".join(page(k, "head  %d" % k if k < 6 else "other", "# Same", "| t |", "x" * 161, f"body {'abcdefghij'[k]}") for k in range(10))
+    got = without_running_lines("before 1\n" + text)
+    assert "head" not in got and got.count("# Same") == 10 and got.count("| t |") == 10 and got.count("x" * 161) == 10 and got.startswith("before 1\n")
+    assert without_running_lines(text.replace("head  5", "tail")).count("head") == 5
+    assert without_running_lines("a\r\nb") == "a\r\nb" and without_running_lines("") == ""
