@@ -219,26 +219,23 @@ def prepared_sources(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), "format", F.sha2("content", 256).alias("content_sha256"), "sha256", F.concat(span["label"], F.lit(":"), span["start_line"].cast("string")).alias("span"), F.concat(w["code"], F.lit(":"), w["line"].cast("string"), F.lit(":"), w["source_label"]).alias("warnings"))
 
 
-# --- queries: an order is a workbook or a paged text, with images from parts -----------------------------------------------------------------------
+# --- queries: an order is a workbook or a paged text; suppliers likewise, with images -----------------------------------------------------------------------
 
 
-def order_packages(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as documents: a workbook of two sheets, or a text of five pages with a running head; every one has images."""
-    k = F.col("o_orderkey")
+def order_packages(rows: DataFrame, k: Column) -> DataFrame:
+    """A document for each row, by its key: a workbook of two sheets, or a text of five pages with a running head; every one has images."""
     key = k.cast("string")
     book = F.concat(F.lit("## Items\n\n| a | b |\n|---|---|\n| "), key, F.lit(" | 1 |\n\n![p](img/p.bin) ![p](img/P.bin \"t\")\n\n## Notes of "), key, F.lit("\n\nend"))
     page = lambda n: F.concat(F.lit(f"<!-- Page: {n} -->\nOrder "), key, F.lit(f" page {n}\n\nText {'abcde'[n - 1]} of the order.\n\n![x](img\\p.bin) ![{'abcde'[n - 1]}](none.png)\n"))
     paged = F.concat(*[page(n) for n in range(1, 6)])
-    o = table(spark, sf, "orders")
-    return o.select(k.alias("doc_id"), F.concat(F.lit("o"), key, F.when(k % 2 == 0, ".xlsx").otherwise(".pdf")).alias("name"), F.when(k % 2 == 0, book).otherwise(paged).alias("markdown"))
+    return rows.select(k.alias("doc_id"), F.concat(F.lit("o"), key, F.when(k % 2 == 0, ".xlsx").otherwise(".pdf")).alias("name"), F.when(k % 2 == 0, book).otherwise(paged).alias("markdown"))
 
 
-def order_images(spark: SparkSession, sf: str) -> DataFrame:
-    """Two files of each order that differ in their bytes, and in the letter case of their names; and one that no order names."""
-    k = F.col("o_orderkey")
+def order_images(rows: DataFrame, k: Column) -> DataFrame:
+    """Two files of each document that differ in their bytes, and in the letter case of their names; and one that no document names."""
     bytes_ = lambda name: F.unhex(F.repeat(F.sha2(F.concat(F.lit(name), k.cast("string")), 256), 3))
     file = lambda name: F.struct(F.lit(f"img/{name}").alias("path"), bytes_(name).alias("content"))
-    return table(spark, sf, "orders").select(k.alias("doc_id"), F.inline(F.array(file("p.bin"), file("P.bin"), file("other.bin"))))
+    return rows.select(k.alias("doc_id"), F.inline(F.array(file("p.bin"), file("P.bin"), file("other.bin"))))
 
 
 @query("package_spans", r"""WITH o AS (SELECT o_orderkey AS k FROM orders)
@@ -247,20 +244,20 @@ SELECT k AS doc_id, i AS place, CASE WHEN k % 2 = 0 THEN 'worksheet' ELSE 'page'
 FROM o, unnest(range(1, CASE WHEN k % 2 = 0 THEN 3 ELSE 6 END)) t(i)""")
 def package_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of cleaned orders: worksheets by their names, pages without their running heads."""
-    d = packaged(cleaned_documents(order_packages(spark, sf)))
+    d = packaged(cleaned_documents(order_packages(table(spark, sf, "orders"), F.col("o_orderkey"))))
     rows = d.select("doc_id", F.posexplode("spans").alias("i", "s"))
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), F.col("s.source_type").alias("kind"), F.col("s.label").alias("label"), F.col("s.start_line").alias("start_line"), F.col("s.end_line").alias("end_line"))
 
 
-@query("package_assets", r"""WITH o AS (SELECT o_orderkey AS k FROM orders),
+@query("package_assets", r"""WITH o AS (SELECT s_suppkey AS k FROM supplier),
 a AS (SELECT k, 'p.bin' AS name, 'assets/p.bin' AS path FROM o UNION ALL SELECT k, 'P.bin', 'assets/P_2.bin' FROM o WHERE k % 2 = 0),
 b AS (SELECT k, path, unhex(repeat(sha256(name || k), 3)) AS content FROM a)
 SELECT CAST(k AS VARCHAR) AS doc_id, path, CAST(octet_length(content) AS BIGINT) AS bytes, sha256(content) AS sha256,
  CASE WHEN k % 2 = 0 THEN '![p](assets/p.bin) ![p](assets/P_2.bin)' ELSE '![x](assets/p.bin) ![a](none.png)' END AS links FROM b""")
 def package_assets(spark: SparkSession, sf: str) -> DataFrame:
-    """Packages of orders written with their images and read back: the bytes of each asset, and the links of the document to it."""
-    root = new_place(spark, "packages")
-    write_listed(package_files(order_packages(spark, sf), "2024-01-01T00:00:00+00:00", split=False, files=order_images(spark, sf)), root)
+    """Packages of suppliers written with their images and read back: the bytes of each asset, and the links of the document to it."""
+    root, s, k = new_place(spark, "packages"), table(spark, sf, "supplier"), F.col("s_suppkey")
+    write_listed(package_files(order_packages(s, k), "2024-01-01T00:00:00+00:00", split=False, files=order_images(s, k)), root)
     inside = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/(content\.md)$", k)
     texts = spark.read.text(f"{root}/*/content.md", wholetext=True).select(inside(1).alias("key"), F.regexp_extract("value", r"(?m)^(!\[.*)$", 1).alias("links"))
     read = read_assets(spark, root).join(texts, "key")

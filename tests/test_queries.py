@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docmill.operators import blocks, catalog, chunks, document_packages, documents, media, naming, pack_files, packs, records, rules, tasks  # noqa: F401
+from docmill.operators import blocks, catalog, chunks, document_packages, documents, history, media, naming, pack_files, packs, records, rules, tasks  # noqa: F401
 from docmill.registry import REGISTRY, query
 from docmill.sources import convert  # noqa: F401
 
