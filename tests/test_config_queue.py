@@ -1,21 +1,30 @@
 """Settings over defaults; a queue that is saved, recovered and set aside."""
 
-from docmill import config
+import json
+
+from pyspark.sql import functions as F
+
+from docmill.sources import settings
 from docmill.sources import task_queue as Q
 
 
-def test_settings(tmp_path):
-    path = tmp_path / "a/settings.json"
-    assert config.load(path) == config.DEFAULTS
-    config.save({"video": {"compression_crf": 30, "location_dictionary": {"x": "y"}}, "tools": "none", "new": 1}, path)
-    got = config.load(path)
-    assert got["video"]["compression_crf"] == 30 and got["video"]["audio_format"] == "mp3" and got["video"]["location_dictionary"] == {"x": "y"}
-    assert got["tools"] == "none" and got["new"] == 1 and config.DEFAULTS["video"]["compression_crf"] == 23
-    assert [p.name for p in path.parent.iterdir()] == ["settings.json"]
-    for text in ("{", "[1]", ""):
-        path.write_text(text)
-        assert config.load(path) == config.DEFAULTS
-    assert [config.whole_number(v, 5, 2) for v in (1, "7", "x", None, 2.5)] == [2, 7, 5, 5, 5]
+def test_settings(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    own = {"own": {"video": {"compression_crf": 30, "location_dictionary": {"x": "y"}}, "tools": "none", "new": 1, "app": None}, "deep": {"a": {"b": {"c": {"d": {"e": 1}}}}}}
+    for name, value in own.items():
+        (tmp_path / f"a/{name}.json").write_text(json.dumps(value))
+    for name, text in (("open", "{"), ("list", "[1]"), ("blank", " ")):
+        (tmp_path / f"a/{name}.json").write_text(text)
+    got = {r.owner: json.loads(r.s) for r in settings.read(spark, f"file://{tmp_path}/a").selectExpr("owner", "to_json(settings) AS s").collect()}
+    assert got["open"] == got["list"] == got["blank"] == settings.DEFAULTS
+    video = settings.DEFAULTS["video"] | {"compression_crf": 30, "location_dictionary": {"x": "y"}}
+    assert got["own"] == settings.DEFAULTS | {"video": video, "tools": "none", "new": 1, "app": None}
+    base = {"a": {"b": {"c": {"d": {"f": 2}, "g": 3}}}}
+    made = settings.effective(spark.createDataFrame([("deep", json.dumps(own["deep"]))], "owner string, settings string"), base).selectExpr("to_json(settings)").first()[0]
+    assert json.loads(made) == {"a": {"b": {"c": {"d": {"e": 1}, "g": 3}}}}  # four levels are merged, the fifth is replaced
+    values = spark.createDataFrame([(k, json.dumps({"n": v})) for k, v in enumerate((1, "7", "x", None, 2.5, -3, True, {}))], "owner long, settings string")
+    rows = settings.effective(values, {}).select("owner", settings.whole(F.col("settings"), "$.n", 5, 2).alias("n"))
+    assert [r.n for r in rows.orderBy("owner").collect()] == [2, 7, 5, 5, 5, 2, 5, 5]
 
 
 def test_queue(spark, tmp_path):
