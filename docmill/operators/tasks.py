@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,14 +77,19 @@ def recovery(spark: SparkSession, sf: str) -> DataFrame:
     return tasks(spark, sf).select("task_id", F.when(running, "interrupted").otherwise(F.col("status")).alias("status"), F.when(running, F.least(F.lit(99), "progress")).otherwise(F.col("progress")).alias("progress"))
 
 
+def progress_percent(line: Column, seconds: Column) -> Column:
+    """Per cent that a progress line of a program tells of a whole of so many seconds: at most 99 before its end; null for a line that tells nothing."""
+    us = F.regexp_extract(line, "^out_time_us=([0-9]+)", 1).try_cast("double")
+    share = F.floor(F.try_divide(us / 1_000_000, seconds) * 100)
+    return F.when(line == "progress=end", F.lit(100)).when(line.startswith("out_time_us="), F.least(F.lit(99), F.greatest(F.lit(0), share))).cast("long")
+
+
 @query("progress_lines", "WITH l AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'progress=end' WHEN event_id % 10 < 8 THEN 'out_time_us=' || (event_id * 1000) ELSE 'frame=' || event_id END AS line FROM events) SELECT event_id, CASE WHEN line = 'progress=end' THEN 100 WHEN starts_with(line, 'out_time_us=') THEN CAST(least(99, greatest(0, floor(CAST(regexp_extract(line, '=([0-9]+)', 1) AS DOUBLE) / 1000000 / 10 * 100))) AS BIGINT) END AS percent FROM l")
 def progress_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Per cent of ten seconds from progress lines; other lines say nothing."""
     e = F.col("event_id")
     line = F.when(e % 10 == 0, "progress=end").when(e % 10 < 8, F.concat(F.lit("out_time_us="), (e * 1000).cast("string"))).otherwise(F.concat(F.lit("frame="), e.cast("string")))
-    us = F.expr("try_cast(regexp_extract(line, '^out_time_us=([0-9]+)', 1) as double)")
-    rows = table(spark, sf, "events").select("event_id", line.alias("line"))
-    return rows.select("event_id", F.when(F.col("line") == "progress=end", F.lit(100)).when(F.col("line").startswith("out_time_us="), F.least(F.lit(99), F.greatest(F.lit(0), F.floor(us / 1_000_000 / 10 * 100)))).cast("long").alias("percent"))
+    return table(spark, sf, "events").select("event_id", progress_percent(line, F.lit(10.0)).alias("percent"))
 
 
 @query("captions", "SELECT event_id, printf('%02d:%02d:%02d.%03d', event_id // 3600, event_id % 3600 // 60, event_id % 60, event_id * 7 % 1000) AS caption FROM events")

@@ -18,9 +18,10 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.plans.stored import new_place
 from docmill.registry import query, table
 
 Converter = Callable[[bytes], str]
@@ -318,6 +319,31 @@ def to_markdown(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(partial(_convert, converters=dict(CONVERTERS)), "path string, markdown string, error_code string, error string")
 
 
+CODES = ("unsupported_suffix", "conversion_failed")
+
+
+def write_observed(files: DataFrame, path: str) -> dict[str, int]:
+    """Writes to_markdown(files) as Parquet and returns total, success, failed, chars and a count for each of CODES, counted in the pass that writes."""
+    seen = Observation("conversion")
+    good = F.col("error_code").isNull()
+    counts = [F.count_if(F.col("error_code") == c).alias(c) for c in CODES]
+    rows = to_markdown(files).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(good).alias("success"), F.count_if(~good).alias("failed"), F.coalesce(F.sum(F.length("markdown")), F.lit(0)).alias("chars"), *counts)
+    rows.write.parquet(path)
+    return seen.get
+
+
+@query("batch_rollup", """WITH f AS (SELECT c_custkey AS k, c_name AS name FROM customer), r AS (SELECT CASE WHEN k % 7 = 0 THEN 'unsupported_suffix' WHEN k % 5 = 0 THEN 'conversion_failed' END AS code, length(name) AS n FROM f)
+SELECT count(*) AS total, count(*) FILTER (WHERE code IS NULL) AS success, count(code) AS failed, CAST(sum(n) FILTER (WHERE code IS NULL) AS BIGINT) AS chars, count(*) FILTER (WHERE code = 'unsupported_suffix') AS unsupported_suffix, count(*) FILTER (WHERE code = 'conversion_failed') AS conversion_failed FROM r""")
+def batch_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as files, some of no known kind, some broken: the roll-up of the pass that converts and writes them."""
+    k = F.col("c_custkey")
+    suffix = F.when(k % 7 == 0, ".exe").when(k % 5 == 0, ".xlsx").otherwise(".txt")
+    files = table(spark, sf, "customer").select(F.concat(k.cast("string"), suffix).alias("path"), F.encode("c_name", "utf-8").alias("content"))
+    seen = write_observed(files, new_place(spark, "converted"))
+    names = ("total", "success", "failed", "chars", *CODES)
+    return spark.createDataFrame([tuple(seen[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 @query("html_to_markdown", """SELECT page_id, true AS converted, 'Page ' || page_id AS title, 'x & y é' AS item, CAST(length(url) AS BIGINT) AS link_chars FROM pages""")
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Every page becomes Markdown without an error, and what was put before its text is found in it: a heading, an item of a list, a link."""

@@ -1,4 +1,4 @@
-"""Streams: folder intake, each file once, and the state of tasks from their events."""
+"""Streams: folder intake, each file once, the state of tasks from their events, and their progress from the lines of their programs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docmill.operators.tasks import progress_percent
+from docmill.sources.files import DOCUMENTS, VIDEOS
+
+STEP = 5  # per cent that progress must have grown by to be stored again
 TERMINAL = ("success", "failed", "cancelled")
 
 
@@ -17,6 +21,42 @@ def watch(spark: SparkSession, path: str, schema: str, key: str, time: str, late
     return spark.readStream.schema(schema).parquet(path).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
+def watch_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = DOCUMENTS + VIDEOS, late: str = "1 hour", content: bool = False, depth: str = "") -> DataFrame:
+    """path, name, suffix, bytes, modified (and content) of the files of these suffixes that arrive in a folder, each once, letter case aside: a file under
+    another spelling of its path is dropped while the first one's modification time is within `late` of the newest; then its state expires. depth: "/*" for
+    each level of folders below path."""
+    files = spark.readStream.format("binaryFile").load(path + depth)
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("suffix"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+    rows = rows.filter(F.col("suffix").isin(*["." + x.lower().lstrip(".") for x in suffixes])).withColumn("folded", F.lower("path"))
+    return rows.withWatermark("modified", late).dropDuplicatesWithinWatermark(["folded"]).drop("folded")
+
+
+def _stored(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last = state.get[0] if state.exists else None
+    for frame in frames:
+        frame = frame.sort_values("place")
+        kept = []
+        for value in frame["progress"]:
+            new = last is None or value < last or value >= last + STEP
+            last = value if new else last
+            kept.append(new)
+        yield frame[kept][["place", "progress"]].assign(task_id=key[0])[["task_id", "place", "progress"]]
+    if last is not None:
+        state.update((int(last),))
+
+
+def progress_states(lines: DataFrame) -> DataFrame:
+    """task_id, place, progress: the progress of tasks that is stored, from the lines (task_id, place, line, seconds: of the whole) that their programs write.
+
+    Lines are parsed within the row; the state of a task is the one number that was stored last, so it may write any number of lines over any number of
+    batches. A batch's lines of a task are taken in the order of place.
+    """
+    percent = progress_percent(F.col("line"), F.col("seconds"))
+    rows = lines.select("task_id", "place", percent.alias("progress")).filter("progress is not null")
+    return rows.groupBy("task_id").applyInPandasWithState(_stored, "task_id long, place long, progress long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def counts(events: DataFrame, time: str, kind: str, width: str, late: str) -> DataFrame:
     """Counts by kind in tumbling windows; a window is given out once no more late rows are waited for."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n"))

@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docmill.operators import blocks, catalog, chunks, document_packages, documents, history, media, naming, pack_files, packs, records, rules, tasks  # noqa: F401
+from docmill.operators import blocks, catalog, chunks, disk, document_packages, documents, history, media, naming, pack_files, packs, records, rules, tasks, versions  # noqa: F401
 from docmill.registry import REGISTRY, query
-from docmill.sources import convert, settings  # noqa: F401
+from docmill.sources import convert, office_media, settings  # noqa: F401
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
