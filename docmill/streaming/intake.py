@@ -25,7 +25,7 @@ def watch_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = DOCU
     """path, name, suffix, bytes, modified (and content) of the files of these suffixes that arrive in a folder, each once, letter case aside: a file under
     another spelling of its path is dropped while the first one's modification time is within `late` of the newest; then its state expires. depth: "/*" for
     each level of folders below path."""
-    files = spark.readStream.format("binaryFile").load(path + depth)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path + depth)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("suffix"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
     rows = rows.filter(F.col("suffix").isin(*["." + x.lower().lstrip(".") for x in suffixes])).withColumn("folded", F.lower("path"))

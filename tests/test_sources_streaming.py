@@ -2,6 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
+from docmill.operators.catalog import throttled
+from docmill.operators.tasks import progress_percent
 from docmill.sources import files
 from docmill.streaming import intake
 
@@ -37,3 +41,38 @@ def test_streams(spark, tmp_path):
     assert spark.table("seen").count() == len(rows)
     run(intake.task_states(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "states", "update")
     assert {r.task_id: (r.status, r.attempts) for r in spark.table("states").collect()} == {1: ("success", 1), 2: ("running", 2), 3: ("waiting", 0)}
+
+
+def test_files_arrive_once(spark, tmp_path):
+    """The same path under two spellings, in two batches, arrives once; other suffixes don't; contents come where asked for."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    out, seen = str(tmp_path / "out"), lambda: sorted((r.name, r.bytes, bytes(r.content)) for r in spark.read.parquet(out).collect())
+
+    def step():
+        stream = intake.watch_files(spark, str(folder), suffixes=("md", ".PDF"), content=True)
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", out).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    (folder / "Notes.md").write_text("one")
+    (folder / "b.exe").write_text("no")
+    step()
+    assert seen() == [("Notes.md", 3, b"one")]
+    (folder / "NOTES.md").write_text("again")
+    (folder / "c.pdf").write_text("new")
+    step()
+    assert seen() == [("Notes.md", 3, b"one"), ("c.pdf", 3, b"new")]
+
+
+def test_progress_stream_equals_the_batch(spark, tmp_path):
+    """Lines over three batches: what is stored is what the throttle of all of them stores."""
+    rows = [(t, p, "progress=end" if p == 59 else f"out_time_us={(p * 37 + t) % 60 * 100_000}" if p % 4 else f"frame={p}") for t in range(5) for p in range(60)]
+    lines = spark.createDataFrame(rows, "task_id long, place long, line string").selectExpr("*", "6D AS seconds")
+    for k in range(3):
+        lines.filter(f"place div 20 = {k}").coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
+    stream = spark.readStream.schema("task_id long, place long, line string, seconds double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "in"))
+    run(intake.progress_states(stream), "progress", "append")
+    got = sorted((r.task_id, r.place, r.progress) for r in spark.table("progress").collect())
+    percent = lines.select(F.lit(0).cast("long").alias("user_id"), "task_id", "place", progress_percent(F.col("line"), F.col("seconds")).alias("progress")).filter("progress is not null")
+    batch = throttled(percent.select(F.col("task_id").alias("user_id"), F.col("place").alias("task_id"), "progress")).filter("stored")
+    assert got == sorted((r.user_id, r.task_id, r.progress) for r in batch.collect()) and len(got) > 50
