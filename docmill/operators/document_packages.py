@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from docmill.functions.provenance import APPENDIX, SPAN, with_spans
-from docmill.functions.text import safe_component
+from docmill.functions.text import safe_component, token_estimate
 from docmill.operators import rules
 from docmill.operators.blocks import clean, without_running_lines
 from docmill.operators.chunks import MOST, TARGET, split_documents
@@ -94,7 +94,7 @@ def package_files(docs: DataFrame, created_at: str, split: bool = True, target:
     """Every file of the packages of docs (see packaged), as parts keyed by doc_id. Chunks are files only where there are two or more.
 
     files (doc_id, path as images name it, content or uri) are what documents may refer to: those that they do are copied to assets/, each once. Warnings are
-    the issues of the cleaned text, and the heading jumps of the raw one that cleaning mended; their message is their code. Documents are cleaned once, into
+    the issues of the cleaned text, and the heading jumps of the raw one that cleaning mended. Documents are cleaned once, into
     a stored table that all parts of the plan read.
     """
     d, images = cleaned_documents(docs), None
@@ -113,7 +113,7 @@ def package_files(docs: DataFrame, created_at: str, split: bool = True, target:
         several = chunks.join(listed.select("doc_id"), "doc_id", "left_semi")
     d = d.join(none if listed is None else listed, "doc_id", "left")
     found = issues_of(whole_package, most)
-    w = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rule_no", F.coalesce("line", F.lit(0)).alias("at"), record(F.col("code"), F.col("severity"), F.col("code").alias("message"), F.col("line"), F.col("label").alias("source_label")).alias("entry")))).alias("w"))
+    w = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rule_no", F.coalesce("line", F.lit(0)).alias("at"), record(F.col("code"), F.col("severity"), rules.message(F.col("code"), F.col("label"), F.col("tokens"), most).alias("message"), F.col("line"), F.col("label").alias("source_label")).alias("entry")))).alias("w"))
     d = d.join(w.select("doc_id", F.transform("w", lambda x: x["entry"]).alias("warnings")), "doc_id", "left")
     objects = lambda name: F.concat(F.lit("["), F.array_join(F.coalesce(F.col(name), F.array().cast("array<string>")), ", "), F.lit("]"))
     page = lambda p: F.struct(p["label"].alias("label"), p["confidence"].alias("confidence"), (p["confidence"] < LOW).alias("low_confidence"))
@@ -138,13 +138,14 @@ def package_files(docs: DataFrame, created_at: str, split: bool = True, target:
 
 
 def issues_of(docs: DataFrame, most: int) -> DataFrame:
-    """doc_id, rule_no, code, severity, line, label: warnings and errors of the cleaned texts of packaged docs, and the heading jumps of the raw ones that are not among them."""
+    """doc_id, rule_no, code, severity, line, label, tokens (of documents that are too long): warnings and errors of the cleaned texts of packaged docs, and the heading jumps of the raw ones that are not among them."""
     assets = docs.select("doc_id", F.explode("assets").alias("path"))
 
     def labelled(text: str, spans: DataFrame) -> DataFrame:
         found = rules.issues(docs.select("doc_id", "suffix", F.col(text).alias("markdown")), assets, most).filter(F.col("severity").isin("warning", "error"))
         label = F.get(F.filter("spans", lambda s: (s["start_line"] <= F.col("line")) & (s["end_line"] >= F.col("line"))), 0)["label"]
-        return found.join(spans.select("doc_id", "spans"), "doc_id").select("doc_id", "rule_no", "code", "severity", "line", F.coalesce(label, F.lit("")).alias("label"))
+        rows = found.join(spans.select("doc_id", "spans", token_estimate(F.col(text)).alias("tokens")), "doc_id")
+        return rows.select("doc_id", "rule_no", "code", "severity", "line", F.coalesce(label, F.lit("")).alias("label"), F.when(F.col("code") == "oversized_document", F.col("tokens")).alias("tokens"))
 
     raw = labelled("raw", with_spans(docs.drop("spans"), "raw")).filter("code = 'heading_jump'")
     return labelled("content", docs).unionByName(raw).distinct()

@@ -18,6 +18,15 @@ _MARKER = r"^<!--\s*(?i:page|slide number)\s*:\s*\d+\s*-->$"
 _SLIDE = r"^<!--\s*(?i:slide number)\s*:\s*\d+\s*-->$"
 IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)"
 _LOST = r"(?i)\[(?:Equation|公式)\]|\bOMML\b|�"
+# What readers are told of an issue.
+MESSAGES = {
+    "empty_document": "转换结果为空。",
+    "very_short": "内容很少，请核对转换是否完整。",
+    "unclosed_code_fence": "存在未闭合的代码块。",
+    "heading_jump": "仍存在跳级标题。",
+    "possible_formula_loss": "检测到公式占位或异常字符，源公式可能没有完整保留。",
+}
+NO_TEXT, TOO_LONG = "%s 没有提取到正文内容。", "全文约 %d 个 token，超过配置上限 %d；建议使用拆分结果。"
 OFFICE = (".doc", ".docx", ".ppt", ".pptx")
 ISSUE = "array<struct<rule_no:int,code:string,severity:string,line:int>>"
 
@@ -78,6 +87,12 @@ def issues(docs: DataFrame, assets: DataFrame, max_tokens: int) -> DataFrame:
     return inside.unionByName(images)
 
 
+def message(code: Column, label: Column, tokens: Column, most: int) -> Column:
+    """What a reader is told of an issue; its code where that takes more than the issue holds."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair]), code)
+    return F.when(code == "empty_source_section", F.format_string(NO_TEXT, label)).when(code == "oversized_document", F.format_string(TOO_LONG, tokens, F.lit(most))).otherwise(F.coalesce(known, code))
+
+
 def image_references(docs: DataFrame) -> DataFrame:
     """doc_id, target, line, at (place in the line) of the images of (doc_id, markdown) that are not on the web: the target as written, without brackets, title and escapes."""
     seen = docs.filter(F.col("markdown").contains("![")).select("doc_id", F.posexplode(lines_of(F.col("markdown"))).alias("i", "l"))

@@ -32,7 +32,7 @@ def test_files(spark):
     assert all(got["1", c["file"]].startswith("# A\n\n") for c in m["chunks"]) and [c["sources"] for c in m["chunks"]] == [[], [], [], [], ["p 1"]]
     other = json.loads(got["2", "manifest.json"])
     assert (other["chunks"], other["tools"], other["ocr"]["enabled"]) == ([], {}, False) and ("2", "chunks/001-Part-1.md") not in got
-    assert "empty_document" in [w["code"] for w in other["warnings"]]
+    assert {w["code"]: w["message"] for w in other["warnings"]}["empty_document"] == "转换结果为空。"
 
 
 def test_packages_that_are_not_whole(spark):
