@@ -287,36 +287,38 @@ def converter(suffix: str, convert: Converter) -> None:
 
 
 def _convert(batches: Iterator[pa.RecordBatch], converters: dict[str, Converter]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[str | None, str | None, str | None, str | None]] = []
-    size = 0
-
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "markdown", "error_code", "error"])
+    def batch_of(batch: pa.RecordBatch, first: int, rows: list[tuple[str | None, str | None, str | None]]) -> pa.RecordBatch:
+        made = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+        keys = [c.slice(first, len(rows)) for c in [batch.column(0), *batch.columns[2:]]]
+        return pa.RecordBatch.from_arrays([keys[0], *made, *keys[1:]], names=["path", "markdown", "error_code", "error", *batch.schema.names[2:]])
 
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows: list[tuple[str | None, str | None, str | None]] = []
+        first = size = 0
+        for k, (path, content) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             suffix = posixpath.splitext(path or "")[1].lower()
             text = code = error = None
             if suffix not in converters:
                 code, error = "unsupported_suffix", f"no converter for {suffix or 'a file without suffix'}"
             else:
                 try:
-                    text = converters[suffix](content or b"")
+                    text = converters[suffix](content.as_py() or b"")
                 except Exception as e:  # one file must not fail the job: what is wrong with it is its row
                     code, error = "conversion_failed", f"{type(e).__name__}: {e}"
-            rows.append((path, text, code, error))
+            rows.append((text, code, error))
             size += len(text or "")
             if len(rows) >= 1024 or size >= 4_000_000:
-                yield batch_of()
-                rows.clear()
-                size = 0
-    if rows:
-        yield batch_of()
+                yield batch_of(batch, first, rows)
+                first, rows, size = k + 1, [], 0
+        if rows:
+            yield batch_of(batch, first, rows)
 
 
-def to_markdown(files: DataFrame) -> DataFrame:
-    """path, markdown, error_code, error of (path, content). Null content counts as empty, a null path as one without suffix."""
-    return files.select("path", "content").mapInArrow(partial(_convert, converters=dict(CONVERTERS)), "path string, markdown string, error_code string, error string")
+def to_markdown(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """path, markdown, error_code, error, and the keys, of (path, content, keys). Null content counts as empty, a null path as one without suffix."""
+    own = files.select("path", "content", *keys)
+    kinds = "".join(f", `{k}` {kind}" for k, kind in own.dtypes[2:])
+    return own.mapInArrow(partial(_convert, converters=dict(CONVERTERS)), f"path string, markdown string, error_code string, error string{kinds}")
 
 
 CODES = ("unsupported_suffix", "conversion_failed")
