@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -66,6 +67,11 @@ def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once however often it is used; it stays within the expression, so a long array is not copied into a row of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _tokens(text: Column) -> Column:
     """The buckets of the tokens, less BUCKETS / 2 so that two bytes hold one."""
     found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
@@ -89,18 +95,25 @@ def measured(docs: DataFrame, *columns: str) -> DataFrame:
     """
     df = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col(ID).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
     t = F.col("t")
+
+    def in_windows(ordered: Column) -> Column:
+        """Words in windows that stand beside an equal one."""
+        again = lambda e, k: (F.coalesce(F.get(ordered, k - 1).h == e.h, F.lit(False))) | (F.coalesce(F.get(ordered, k + 1).h == e.h, F.lit(False)))
+        places = F.transform(F.filter(ordered, again), lambda e: F.array(e.i, e.i + 1, e.i + 2))
+        return F.size(F.array_distinct(F.flatten(places)))
+
+    def repeated(windows: Column) -> Column:
+        ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _once(ordered, in_windows)).otherwise(0)
+
+    def of_words(w: Column) -> Column:
+        windows = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _once(windows, repeated).cast("long").alias("n_repeat_words"))
+
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = _fixed(df, words=_words(t), lines=lines, n_symbols=F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"), tokens=_tokens(t)).drop("t")
-    w = F.col("words")
-    windows = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
-    repeated = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")
-    df = _fixed(df, windows=windows, n_dup_lines=repeated, n_words=F.size("words").cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long")).drop("words", "lines")
-    pairs = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = _fixed(df, sorted=F.when(F.size(F.array_distinct("windows")) < F.size("windows"), pairs)).drop("windows")
-    z = F.col("sorted")
-    again = lambda e, k: (F.coalesce(F.get(z, k - 1).h == e.h, F.lit(False))) | (F.coalesce(F.get(z, k + 1).h == e.h, F.lit(False)))
-    places = F.transform(F.filter(z, again), lambda e: F.array(e.i, e.i + 1, e.i + 2))
-    df = _fixed(df, n_repeat_words=F.when(z.isNull(), 0).otherwise(F.size(F.array_distinct(F.flatten(places)))).cast("long")).drop("sorted")
+    doubled = _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    df = _fixed(df, of_words=_once(_words(t), of_words), n_symbols=F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"), n_dup_lines=doubled, tokens=_tokens(t)).drop("t")
+    df = df.select(*[c for c in df.columns if c != "of_words"], "of_words.*")
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
@@ -122,8 +135,7 @@ def _score(grams: Column, table: Column) -> Column:
 
 def _scored(df: DataFrame, tokens: Column, pairs: Column) -> DataFrame:
     """df with score and pair_score by these tables of log-ratios, without the tokens."""
-    df = _fixed(df, pairs=_pairs(F.col("tokens")))
-    return _fixed(df, score=_score(F.col("tokens"), tokens), pair_score=_score(F.col("pairs"), pairs)).drop("tokens", "pairs")
+    return _fixed(df, score=_score(F.col("tokens"), tokens), pair_score=_once(_pairs(F.col("tokens")), lambda p: _score(p, pairs))).drop("tokens")
 
 
 def _counted(df: DataFrame, folds: int = 1) -> np.ndarray:
