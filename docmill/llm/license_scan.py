@@ -69,7 +69,28 @@ SENTENCES = {
     "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
     "zlib-as-is": "this software is provided as is without any express or implied warranty",
     "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "gpl-preamble": "the gnu general public license is a free copyleft license for software and other kinds of works",
+    "mpl2-title": "mozilla public license version 2 0",
+    "cc-by-4-work": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-4-work": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-4-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "bsd-university": "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "spdx": "spdx license identifier",
+    "spdx-gpl-2-bare": "gpl 2 0",
+    "spdx-gpl-3-bare": "gpl 3 0",
+    "spdx-lgpl-21": "lgpl 2 1 only",
+    "spdx-lgpl-21-later": "lgpl 2 1 or later",
+    "spdx-lgpl-3": "lgpl 3 0 only",
+    "spdx-lgpl-3-later": "lgpl 3 0 or later",
+    "spdx-agpl-3": "agpl 3 0 only",
+    "spdx-agpl-3-later": "agpl 3 0 or later",
+    "spdx-mit-or-apache": "mit or apache 2 0",
+    "spdx-apache-or-mit": "apache 2 0 or mit",
+    "spdx-cc0": "cc0 1 0",
     "spdx-mit": "mit",
     "spdx-apache-2": "apache 2 0",
     "spdx-bsd-2": "bsd 2 clause",
@@ -142,6 +163,27 @@ RULES = [
     ("ISC", ("spdx", "spdx-isc"), True),
     ("BSL-1.0", ("spdx", "spdx-boost"), True),
     ("Zlib", ("spdx", "spdx-zlib"), True),
+    ("GPL-3.0", ("gpl3-title",), False),
+    ("GPL-3.0", ("gpl3-title", "gpl-preamble"), False),
+    ("GPL-2.0", ("gpl2-title",), False),
+    ("LGPL-3.0", ("lgpl3-title",), False),
+    ("AGPL-3.0", ("agpl3-title",), False),
+    ("MPL-2.0", ("mpl2-title",), False),
+    ("CC-BY-4.0", ("cc-by-4-work",), True),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-work",), False),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-work",), False),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-university"), True),
+    ("GPL-2.0-only", ("spdx", "spdx-gpl-2-bare"), False),
+    ("GPL-3.0-only", ("spdx", "spdx-gpl-3-bare"), False),
+    ("LGPL-2.1-only", ("spdx", "spdx-lgpl-21"), False),
+    ("LGPL-2.1-or-later", ("spdx", "spdx-lgpl-21-later"), False),
+    ("LGPL-3.0-only", ("spdx", "spdx-lgpl-3"), False),
+    ("LGPL-3.0-or-later", ("spdx", "spdx-lgpl-3-later"), False),
+    ("AGPL-3.0-only", ("spdx", "spdx-agpl-3"), False),
+    ("AGPL-3.0-or-later", ("spdx", "spdx-agpl-3-later"), False),
+    ("MIT OR Apache-2.0", ("spdx", "spdx-mit-or-apache"), True),
+    ("MIT OR Apache-2.0", ("spdx", "spdx-apache-or-mit"), True),
+    ("CC0-1.0", ("spdx", "spdx-cc0"), True),
 ]
 
 _BREAK = r"[.!?:;]+(?:[ \t\n\x0B\f\r]+|\z)|\n(?:[^A-Za-z0-9\n]*\n)+"
@@ -165,12 +207,19 @@ def normal(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
 
 
+WIDTH = max(2, len(str(len(SENTENCES) - 1)))  # digits of a code
+
+
 def _codes() -> dict[str, str]:
-    return {s: f"{k:02d}" for k, s in enumerate(SENTENCES)}
+    return {s: f"{k:0{WIDTH}d}" for k, s in enumerate(SENTENCES)}
+
+
+#: What stands in place of the sentences that a rule has matched.
+_TAKEN = "-" * WIDTH + ","
 
 
 def sentence_ids(text: Column) -> Column:
-    """The known sentences of a text, in order, as two-digit codes each with a comma behind it: '00,04,'."""
+    """The known sentences of a text, in order, as codes of WIDTH digits each with a comma behind it: '00,04,'."""
     table = F.create_map(*[F.lit(x) for name, code in _codes().items() for x in (SENTENCES[name], code)])
     code = lambda s: F.get(F.array(F.element_at(table, normal(s))), F.lit(0))
     pieces = F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda s: s.rlike(_hint()))
@@ -190,7 +239,7 @@ def _matches(ids: Column) -> Column:
     code = _codes()
     rules = F.array(*[F.struct(F.lit("".join(code[s] + "," for s in of)).alias("ids"), F.lit(name).alias("name"), F.lit(reuse).alias("reuse")) for name, of, reuse in BY_LENGTH])
     none = F.filter(rules, lambda r: F.lit(False))
-    step = lambda a, r: F.struct(F.replace(a["ids"], r["ids"], F.lit("--,")).alias("ids"), F.when(F.contains(a["ids"], r["ids"]), F.array_append(a["hits"], r)).otherwise(a["hits"]).alias("hits"))
+    step = lambda a, r: F.struct(F.replace(a["ids"], r["ids"], F.lit(_TAKEN)).alias("ids"), F.when(F.contains(a["ids"], r["ids"]), F.array_append(a["hits"], r)).otherwise(a["hits"]).alias("hits"))
     return F.when(ids == "", none).otherwise(F.aggregate(rules, F.struct(ids.alias("ids"), none.alias("hits")), step, lambda a: a["hits"]))
 
 
@@ -204,7 +253,7 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     df = documents.select("*", F.inline(F.array(F.struct(sentence_ids(F.col(text)).alias(_IDS)))))
     df = df.select("*", F.inline(F.array(F.struct(_matches(F.col(_IDS)).alias(_HITS)))))
     names = F.array_sort(F.array_distinct(F.transform(_HITS, lambda h: h["name"])))
-    out = {"n_license_sentences": F.coalesce(F.length(_IDS) / 3, F.lit(0)).cast("long"), "licenses": F.array_join(names, "+"), "n_licenses": F.size(names).cast("long")}
+    out = {"n_license_sentences": F.coalesce(F.length(_IDS) / (WIDTH + 1), F.lit(0)).cast("long"), "licenses": F.array_join(names, "+"), "n_licenses": F.size(names).cast("long")}
     out["reusable"] = F.when(F.size(_HITS) > 0, F.forall(_HITS, lambda h: h["reuse"]))
     own = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in out]
     return df.select(*own, *[c.alias(n) for n, c in out.items()])
@@ -224,7 +273,7 @@ def oracle() -> str:
     steps = []
     for k, (_, ids, _) in enumerate(rules):
         pattern = "".join(code[s] + "," for s in ids)
-        steps.append(f"SELECT * EXCLUDE (ids), contains(ids, '{pattern}') AS f{k}, replace(ids, '{pattern}', '--,') AS ids FROM " + (f"s{k - 1}" if k else "each"))
+        steps.append(f"SELECT * EXCLUDE (ids), contains(ids, '{pattern}') AS f{k}, replace(ids, '{pattern}', '{_TAKEN}') AS ids FROM " + (f"s{k - 1}" if k else "each"))
     steps = ", ".join(f"s{k} AS ({step})" for k, step in enumerate(steps))
     hits = ", ".join("CASE WHEN " + " OR ".join(f"f{k}" for k, r in enumerate(rules) if r[0] == n) + f" THEN '{n}' END" for n in names)
     number = " + ".join("CAST((" + " OR ".join(f"f{k}" for k, r in enumerate(rules) if r[0] == n) + ") AS INT)" for n in names)
@@ -240,7 +289,7 @@ last AS (SELECT doc_id, p, min(i) AS i, arg_min(code, i) AS code FROM tail JOIN
 single AS (SELECT doc_id, p, x, unnest(range(0, coalesce(last.i, len(x)))) AS i FROM lined LEFT JOIN last USING (doc_id, p)),
 hit AS (SELECT doc_id, p, i, code FROM last UNION ALL SELECT doc_id, p, i, code FROM single JOIN known ON known.sentence = {norm("x[i + 1]")}),
 row_ids AS (SELECT doc_id, string_agg(code || ',', '' ORDER BY p, i) AS ids FROM hit GROUP BY doc_id),
-each AS (SELECT d.doc_id, coalesce(h.ids, '') AS ids, CAST(length(coalesce(h.ids, '')) / 3 AS BIGINT) AS n_license_sentences FROM documents d LEFT JOIN row_ids h USING (doc_id)),
+each AS (SELECT d.doc_id, coalesce(h.ids, '') AS ids, CAST(length(coalesce(h.ids, '')) / {WIDTH + 1} AS BIGINT) AS n_license_sentences FROM documents d LEFT JOIN row_ids h USING (doc_id)),
 {steps},
 named AS (SELECT *, concat_ws('+', {hits}) AS licenses, CAST({number} AS BIGINT) AS n_licenses FROM s{len(rules) - 1})
 SELECT doc_id, n_license_sentences, licenses, n_licenses, CASE WHEN n_licenses > 0 THEN NOT ({closed}) END AS reusable FROM named"""

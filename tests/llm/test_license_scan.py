@@ -96,6 +96,15 @@ TEXTS = {
     "Zlib": (ZLIB, 2),
     "ISC": ("x.c\n\nSPDX-License-Identifier: ISC\n\ncode", 2),
 }
+TEXTS |= {
+    "GPL-3.0": ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n\n The GNU General Public License is a free, copyleft license for software and other kinds of works.", 2),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Preamble", 1),
+    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", 1),
+    "LGPL-2.1-only": ("SPDX-License-Identifier: LGPL-2.1-only", 2),
+    "LGPL-3.0-or-later": ("SPDX-License-Identifier: LGPL-3.0-or-later", 2),
+    "GPL-2.0-only": ("SPDX-License-Identifier: GPL-2.0", 2),
+    "MIT OR Apache-2.0": ("SPDX-License-Identifier: MIT OR Apache-2.0", 2),
+}
 MARKS = ["", "# ", " * ", "    "]
 
 
@@ -126,3 +135,16 @@ def test_each_sentence_is_found_alone_and_no_two_are_equal(spark):
 
 def test_hint_misses_no_sentence():
     assert all(re.search(L._hint(), s) for s in L.SENTENCES.values())
+
+
+def test_more_forms(spark):
+    """A licence's own title, the university's form of a clause, lesser licences by identifier."""
+    rows = {
+        "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions",
+        "BSD-3-Clause": BSD + NAME.replace("copyright holder", "University"),
+        "LGPL-2.1-or-later": "// SPDX-License-Identifier: LGPL-2.1-or-later",
+        "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007",
+        "MIT": "SPDX-License-Identifier: MIT",
+    }
+    docs = spark.createDataFrame(list(enumerate(rows.values())), "doc_id long, text string")
+    assert [r.licenses for r in L.scan(docs).orderBy("doc_id").collect()] == list(rows)
