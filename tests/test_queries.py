@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docmill.operators import blocks, catalog, chunks, disk, document_packages, documents, folder_packs, history, media, naming, pack_files, packs, previews, records, rules, tasks, versions  # noqa: F401
+from docmill.operators import blocks, catalog, checks, chunks, disk, document_packages, documents, folder_packs, history, media, naming, pack_files, packs, previews, records, rules, tasks, versions  # noqa: F401
 from docmill.registry import REGISTRY, query
 from docmill.sources import convert, office_media, settings  # noqa: F401
 
