@@ -160,6 +160,10 @@ class Weights:
             if a + b >= LEAST_SEEN and key.split(".")[0] not in ("article", "main") and key not in ("div", "section"):
                 self.aside[key] = a < MOST_INSIDE * (a + b)
 
+    def unknown(self, place: Place) -> bool:
+        """Whether a container has names and nothing was learned of it: on a page with an article of its own, that judges."""
+        return "." in place.key and place.key not in self.aside and place.key.split(".")[0] not in ("article", "main")
+
     def is_aside(self, place: Place) -> bool:
         """Whether a container holds no main text: by what was learned of it, or else by its names and, of a header, by whether it is an article's own."""
         learned = self.aside.get(place.key)
@@ -172,14 +176,34 @@ class Weights:
         return self.by_name[at]
 
 
+def beside_article(steps: list[tuple[str, str, str, Place | None]]) -> set[Place]:
+    """The containers that stand outside the page's own article or main element, hold none, and have fewer words than these have together."""
+    words: Counter = Counter()
+    around: set[Place] = set()
+    inner = 0
+    for kind, _, value, place in steps:
+        if place is not None and place.inside:
+            while place is not None and place not in around:
+                around.add(place)
+                place = place.around
+            inner += len(value.split()) if kind == "text" else 0
+        elif kind == "text" and (n := len(value.split())):
+            while place is not None:
+                words[place] += n
+                place = place.around
+    return {p for p, n in words.items() if n < inner and p not in around}
+
+
 def main_text(page: str, weights: Weights) -> str:
     """The text of the best region: its blocks, white space made single, joined by line feeds."""
     parts: list[tuple[str, str, bool]] = []  # kind, text or tag, whether in a container without main text
     scores: list[float] = []
     asides: dict[Place | None, bool] = {None: False}
-    for kind, key, value, place in walk(page):
+    steps = list(walk(page))
+    beside = beside_article(steps) if re.search(r"<(article|main)\b", page, re.I) else ()
+    for kind, key, value, place in steps:
         if place not in asides:
-            asides[place] = asides[place.around] or weights.is_aside(place)
+            asides[place] = asides[place.around] or weights.is_aside(place) or (place in beside and weights.unknown(place))
         aside = asides[place]
         if kind == "text":
             n = len(value.split())

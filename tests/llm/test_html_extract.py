@@ -98,3 +98,17 @@ def test_a_page_does_not_depend_on_those_before_it(spark):
     of = lambda n, order: {r.page_id: r.text for r in H.extract_main_text(df.repartition(n).sortWithinPartitions(order), H.Weights()).collect()}
     want = {k: words if k % 2 else f"My Title Here\n{words}" for k in range(60)}
     assert of(1, "page_id") == of(50, "page_id") == of(3, "html") == want
+
+
+def test_small_unknown_containers_beside_an_article_are_no_main_text():
+    """A class of which nothing was learned: outside the page's own article it goes, within it, around it or without one it stays."""
+    body, talk = "words of the article " * 20, "reader says this " * 10
+    text = lambda page: H.main_text(page, H.Weights())
+    assert text(f'<article><p>{body}</p></article><div class="discussion"><p>{talk}</p></div>') == body.strip()
+    assert text(f'<div class="discussion">{talk}</div><main><p>{body}</p></main>') == body.strip()
+    assert text(f'<article><p>{body}</p><div class="discussion"><p>{talk}</p></div></article>') == f"{body.strip()}\n{talk.strip()}"
+    assert text(f'<div class="page"><article><p>{body}</p></article></div>') == body.strip()
+    assert text(f'<div class="story"><p>{body}</p></div>') == body.strip()
+    assert text(f'<article><p>{talk}</p></article><div class="story"><p>{body}</p></div>').endswith(body.strip())
+    learned = H.Weights([("in", "div.discussion", True, 60), ("in", "div.discussion", False, 40)])
+    assert H.main_text(f'<article><p>{body}</p></article><div class="discussion"><p>{talk}</p></div>', learned) == f"{body.strip()}\n{talk.strip()}"
