@@ -1,10 +1,13 @@
 """op7: the forward sums against all segmentations, and accuracy on held-out documents."""
 
 import math
+import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from docmill.llm import language_id as L
@@ -62,3 +65,71 @@ def test_odd_rows(spark):
     assert (got[103][0], got[None][0], got[104][0], got[105][0]) == ("de", "en", "en", "en")
     assert len(got) == 67 and L.predict_languages(df.limit(0), PATH).collect() == []
     assert {r.lang_pred for r in L.predict_languages(df.withColumn("lang", F.lit(None).cast("string")), PATH).collect()} == {"und"}
+
+
+def segmentations(word):
+    v = L.pieces(PATH)
+
+    def go(w):
+        if not w:
+            yield []
+        for k in range(1, len(w) + 1):
+            p = v.number.get(w[:k], v.unknown if k == 1 else None)
+            if p is not None:
+                yield from ([p, *rest] for rest in go(w[k:]))
+
+    return list(go("\u2581" + word))
+
+
+def brute(rows):
+    """Every document's language and posterior, from distributions fitted by listing all segmentations of all words."""
+    n, unknown = L.pieces(PATH).unknown, L.pieces(PATH).unknown
+    words = lambda text: regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    langs = sorted({r[2] for r in rows if r[2] and not held(r[0])})
+    share = {}
+    for lang in langs:
+        counts = Counter(w for d, t, x in rows if x == lang and not held(d) for w in words(t))
+        now = defaultdict(lambda: 1.0 / n)
+        for _ in range(L.ROUNDS):
+            now[unknown] = L.UNKNOWN_SHARE
+            expected = Counter()
+            for w, c in counts.items():
+                ways = [(math.prod(now[p] for p in way), way) for way in segmentations(w)]
+                total = sum(x for x, _ in ways)
+                for x, way in ways:
+                    for p in way:
+                        expected[p] += c * x / total
+            expected[unknown] = 0
+            whole = sum(expected.values()) + L.SMOOTHING * n
+            rest = L.SMOOTHING / whole
+            now = defaultdict(lambda rest=rest: rest, {p: (e + L.SMOOTHING) / whole for p, e in expected.items()})
+        now[unknown] = L.UNKNOWN_SHARE
+        share[lang] = now
+    out = {}
+    for d, t, _ in rows:
+        if not regex.search(r"\p{L}", t or ""):
+            out[d] = held(d), "und", 0.0
+            continue
+        logs = [sum(math.log(sum(math.prod(share[x][p] for p in way) for way in segmentations(w))) for w in words(t)) for x in langs]
+        best = max(range(len(langs)), key=lambda k: logs[k])
+        out[d] = held(d), langs[best], 1 / sum(math.exp(x - logs[best]) for x in logs)
+    return out
+
+
+def test_whole_query_against_all_segmentations(spark, tmp_path):
+    """Fit, forward sums, posterior and the held-out fifth on made words of three languages, nulls, digits, marks and unknown characters."""
+    r = random.Random(7)
+    pools = {"en": "the an in on her th ing", "de": "der die sch un ß ein ch", "fr": "le les é ou ai qu eux"}
+    word = lambda x: "".join(r.choice(pools[x].split()) for _ in range(r.randint(1, 2)))
+    rows = []
+    for k in range(150):
+        x = r.choice(list(pools))
+        rows.append((k, " ".join(word(x if r.random() < 0.7 else r.choice(list(pools))) for _ in range(r.randint(1, 5))) + r.choice(["", " 12 #", "!"]), x if k % 11 else None))
+    rows += [(200, None, "en"), (201, "", "de"), (202, "12 34", "fr"), (203, "日 the", "en"), (204, "Der DIE", None), (205, "ж", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: (x.held_out, x.lang_pred, x.score) for x in L.query(spark, str(tmp_path)).collect()}
+    want = brute(rows)
+    assert got.keys() == want.keys() and any(w[0] for w in want.values())
+    assert all(got[d][0] == want[d][0] and got[d][2] == pytest.approx(want[d][2], rel=1e-6) for d in want)
+    assert all(got[d][1] == want[d][1] for d in want if want[d][2] > 0.51 or want[d][1] == "und")
