@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docmill.plans.stored import stored
+
 RUN = 1 << 16  # rows of a run, more if a pack may have more
 SPAN = 1 << 16  # values of the order that are numbered together
 
@@ -100,13 +102,15 @@ def place(rows: DataFrame, target: int, run: int = RUN, span: int = SPAN) -> Dat
     """job, major, minor, pack (from 1), starts of rows (job string, major long, minor long, full long, rest long).
 
     full is a row's cost at the start of a pack, rest its cost elsewhere; both are at least 1. A row that alone passes the target is a pack by itself.
+    Costs are computed once, into a stored table, as are the numbers: several parts of the plan read both.
     """
     run = max(run, target + 1)
-    r = numbered(rows, span).withColumn("run", F.floor(F.col("n") / run))
+    r = stored(numbered(stored(rows, "fit-rows"), span).withColumn("run", F.floor(F.col("n") / run)), "fit-numbered")
     narrow = r.select("job", "run", "n", "full", "rest")
     heads = narrow.filter((F.col("n") % run <= target) & (F.col("run") > 0)).withColumn("run", F.col("run") - 1)  # a pack may end in the next run
     both = narrow.withColumn("own", F.lit(True)).unionByName(heads.withColumn("own", F.lit(False)))
     exits = both.groupBy("job", "run").applyInPandas(partial(_exits, target=target), "job string, run long, size long, leave array<long>, packs array<long>")
     enters = exits.repartition("job").sortWithinPartitions("job", "run").mapInPandas(_entries, "job string, run long, enter long, pack long")
-    ready = r.join(enters, ["job", "run"]).repartition("job", "run").sortWithinPartitions("job", "run", "n")
+    # By an expression of its own: a repartition by the keys of the join is left out as done, and adaptive execution may then read the join's side by map task, which tears runs apart.
+    ready = r.join(enters, ["job", "run"]).repartition(F.xxhash64("job", "run")).sortWithinPartitions("job", "run", "n")
     return ready.mapInPandas(partial(_place, target=target, run=run), "job string, major long, minor long, pack long, starts boolean")

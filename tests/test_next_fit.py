@@ -34,3 +34,18 @@ def test_equals_the_loop(spark):
 
 def test_empty(spark):
     assert place(spark.createDataFrame([], "job string, major long, minor long, full long, rest long"), 20).collect() == []
+
+
+def test_rows_of_a_run_stay_together_when_the_join_becomes_a_broadcast(spark):
+    """Adaptive execution turned the join before the packing into a broadcast and read its rows by map task, so a run was packed in pieces."""
+    rows = [(job, i, 0, 1 + i % 7, 1 + i % 5) for job in ("a", "b", "c") for i in range(2000)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        frame = spark.createDataFrame(rows, "job string, major long, minor long, full long, rest long").repartition(7)
+        got = place(frame, 20, 400, span=64).collect()
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+    assert {(r.job, r.major, r.minor): (r.pack, r.starts) for r in got} == loop(rows, 20)
