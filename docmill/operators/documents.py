@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from docmill.functions.text import PRIVATE_PATH_SQL, TOKEN_SQL, line_form, private_path, redact, token_estimate
 from docmill.plans.next_fit import numbered, place
+from docmill.plans.stored import stored
 from docmill.registry import query, table
 
 SOFT_TARGET = 0.95
@@ -221,7 +222,7 @@ SELECT count(*) AS expected, CAST(sum(n) AS BIGINT) AS packed, count(*) FILTER (
 def pack_integrity(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of expected and packed blocks, of missing and of repeated ones, for packs that lost some blocks and got some twice."""
     docs = _blocks(spark, sf)
-    placed = next_fit(docs, 2000).filter("doc_id % 29 <> 3")
+    placed = stored(next_fit(docs, 2000), "placed").filter("doc_id % 29 <> 3")
     return integrity_counts(docs, placed.unionByName(placed.filter("doc_id % 31 = 4")))
 
 
