@@ -1,5 +1,6 @@
 """Blocks, splits, cleaning and asset links on hand-made texts."""
 
+import re
 from docmill.operators import blocks as B
 
 TEXT = "# A\n\nOne. Two!\nthree\n\n### B\n| x | y |\n| 1 | 2 |\n\n````\n```\ncode. here\n```\n````\n$$\nE = m\n$$\n![i](assets/p.png)\n## C\nlast"
@@ -55,3 +56,17 @@ def test_tokens_agree_with_the_column(spark):
 
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", token_estimate(F.col("text")).alias("t")).collect()
     assert all(B.tokens(r.text or "") == r.t for r in rows)
+
+
+def test_shortcuts_for_ascii_and_plain_lines_change_nothing():
+    """The short ways of tokens() and pieces_of() against the patterns that they stand for."""
+    import random
+
+    from docmill.operators import blocks as B
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B9", "_", "-", "'", " ", "\n", ".", "!", "\x1c", "\t", "|", "`", "。", "é"]) for _ in range(rng.randint(0, 20)))
+        bare = B._CJK.sub("", text)
+        assert B.tokens(text) == max(1, len(text) - len(bare) + len(B._WORD.findall(bare)) - (-len(B._MARK.findall(bare)) // 4))
+        assert B.pieces_of(text) == [x for x in re.split(r"(?<=[。！？.!?])\s*", text.strip()) if x]
