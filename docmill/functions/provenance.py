@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions.lines import lines_of
+from docmill.functions.lines import lines_of, once
 
 SPAN = "struct<source_type:string,label:string,ordinal:int,start_line:int,end_line:int,confidence:double>"
 
@@ -38,16 +38,22 @@ def _marker(line: Column, at: Column) -> Column:
 
 def with_spans(docs: DataFrame, text: str = "markdown", suffix: str = "suffix") -> DataFrame:
     """docs with spans: from each marker to the line before the next one; without markers one span for the whole document, labelled by its suffix."""
-    d = docs.withColumn("_lines", lines_of(F.col(text)))
-    d = d.withColumn("_marks", F.filter(F.transform("_lines", lambda x, i: _marker(x, i + 1)), lambda x: x.isNotNull()))
     label = F.lit(OTHER)
     for name, value in WHOLE.items():
         label = F.when(F.lower(suffix) == name, value).otherwise(label)
-    whole = F.array(F.struct(F.lit("document"), label, F.lit(None).cast("int"), F.lit(1), F.greatest(F.lit(1), F.size("_lines")), F.lit(None).cast("double")))
-    end = lambda m, i: F.coalesce(F.get("_marks", i + 1)["line"] - 1, F.greatest(m["line"], F.size("_lines")))
-    marked = F.transform("_marks", lambda m, i: F.struct(m["kind"], m["label"], m["ordinal"], m["line"], end(m, i), m["sure"].try_cast("double") / 100))
     kind = f"array<{SPAN}>"
-    return d.withColumn("spans", F.when(F.size("_marks") > 0, marked.cast(kind)).otherwise(whole.cast(kind))).drop("_lines", "_marks")
+
+    def of_marks(marks: Column, n: Column) -> Column:
+        end = lambda m, i: F.coalesce(F.get(marks, i + 1)["line"] - 1, F.greatest(m["line"], n))
+        marked = F.transform(marks, lambda m, i: F.struct(m["kind"], m["label"], m["ordinal"], m["line"], end(m, i), m["sure"].try_cast("double") / 100))
+        whole = F.array(F.struct(F.lit("document"), label, F.lit(None).cast("int"), F.lit(1), F.greatest(F.lit(1), n), F.lit(None).cast("double")))
+        return F.when(F.size(marks) > 0, marked.cast(kind)).otherwise(whole.cast(kind))
+
+    def of_lines(lines: Column) -> Column:
+        marks = F.filter(F.transform(lines, lambda x, i: _marker(x, i + 1)), lambda x: x.isNotNull())
+        return once(marks, lambda m: of_marks(m, F.size(lines)))
+
+    return docs.withColumn("spans", once(lines_of(F.col(text)), of_lines))
 
 
 def location_label(span: Column) -> Column:

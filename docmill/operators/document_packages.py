@@ -246,7 +246,7 @@ FROM o, unnest(range(1, CASE WHEN k % 2 = 0 THEN 3 ELSE 6 END)) t(i)""")
 def package_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of cleaned orders: worksheets by their names, pages without their running heads."""
     d = packaged(cleaned_documents(order_packages(table(spark, sf, "orders"), F.col("o_orderkey"))))
-    rows = d.select("doc_id", F.posexplode("spans").alias("i", "s"))
+    rows = d.select("doc_id", F.posexplode_outer("spans").alias("i", "s"))  # no document is without spans; else they would be computed again to see that
     return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), F.col("s.source_type").alias("kind"), F.col("s.label").alias("label"), F.col("s.start_line").alias("start_line"), F.col("s.end_line").alias("end_line"))
 
 

@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from docmill.operators import chunks
 from docmill.operators import document_packages as D
@@ -98,3 +99,12 @@ def test_running_lines_are_those_of_six_tenths():
     assert "head" not in got and got.count("# Same") == 10 and got.count("| t |") == 10 and got.count("x" * 161) == 10 and got.startswith("before 1\n")
     assert without_running_lines(text.replace("head  5", "tail")).count("head") == 5
     assert without_running_lines("a\r\nb") == "a\r\nb" and without_running_lines("") == ""
+
+
+def test_spans_are_not_copied_into_what_reads_them(spark):
+    """A generator filters by the size of what it takes apart first: the marks stood in that filter once for each of their uses, two within lambdas."""
+    d = D.packaged(D.cleaned_documents(spark.createDataFrame([(1, "a.pdf", "<!-- Page: 1 -->\nx\n<!-- Page: 2 -->\ny")], "doc_id long, name string, markdown string")))
+    rows = d.select(F.posexplode("spans").alias("i", "s"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("工作表：(.+?)") <= 3 * 2  # twice in a filter and once as a column; each looks for it and takes its label
+    assert [(r.i, r.s.start_line, r.s.end_line) for r in rows.collect()] == [(0, 1, 2), (1, 3, 4)]
