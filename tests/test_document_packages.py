@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from docmill.operators import chunks
 from docmill.operators import document_packages as D
 from docmill.operators.blocks import without_running_lines
+from docmill.sources import part_files
 from docmill.sources.part_files import whole_files, write_listed
 
 
@@ -108,3 +110,13 @@ def test_spans_are_not_copied_into_what_reads_them(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("工作表：(.+?)") <= 3 * 2  # twice in a filter and once as a column; each looks for it and takes its label
     assert [(r.i, r.s.start_line, r.s.end_line) for r in rows.collect()] == [(0, 1, 2), (1, 3, 4)]
+
+
+def test_many_small_files_share_a_frame():
+    """A frame for each file took longer than the file."""
+    frame = pd.DataFrame({"key": "k", "path": [f"p{i:05}" for i in range(5000)], "section": 0, "a": 0, "b": 0, "sep": "", "exact": True, "text": [str(i) for i in range(5000)], "data": None, "uri": None})
+    frames = list(part_files._whole(iter([frame]), text=True))
+    assert len(frames) == 2
+    assert pd.concat(frames)["content"].tolist() == frame["text"].tolist()
+    long = frame.head(6).assign(text="x" * (part_files.FLUSH_BYTES // 2 + 1))
+    assert [len(f) for f in part_files._whole(iter([long]), text=False)] == [2, 2, 2]
