@@ -10,6 +10,7 @@ The distributions are fitted on at most TRAIN_DOCS whole documents of a language
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -32,6 +33,7 @@ UNKNOWN_SHARE = 1e-7  # of a character outside the vocabulary
 SMOOTHING = 0.1  # added to each piece's expected count
 SLICE = 2 << 20
 WORDS_HELD = 200_000
+WORDS_AT_ONCE = 4000  # whose edges are worked on together
 LEAST_SCORE = 0.5
 
 NO_LANGUAGE = "und"
@@ -107,25 +109,35 @@ def word_scores(words: list[str], shares: np.ndarray, path: str) -> np.ndarray:
 
 
 def fit(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """log shares of the pieces (and of an unknown character, last) for the counted words of one language."""
+    """log shares of the pieces (and of an unknown character, last) for the counted words of one language. Memory grows with their edges, at 16 bytes each;
+    all else is of WORDS_AT_ONCE words."""
     vocabulary = pieces(path)
-    edges = vocabulary.edges(words)
+    cuts = range(0, len(words), WORDS_AT_ONCE)
+    held = [tuple(e.astype(np.int32) for e in vocabulary.edges(words[k : k + WORDS_AT_ONCE])) for k in cuts]
     n = vocabulary.unknown
     shares = np.full(n + 1, 1.0 / n)
     for _ in range(rounds):
         shares[n] = UNKNOWN_SHARE
-        weight = np.log(shares)[edges[3]][:, None]
-        ahead, at = forward(edges, weight)
-        behind, _ = forward(edges, weight, backward=True)
-        whole = ahead[at[1:] - 1, 0]
-        used = np.exp(ahead[at[edges[0]] + edges[1], 0] + weight[:, 0] + behind[at[edges[0]] + edges[2], 0] - whole[edges[0]])
-        expected = np.bincount(edges[3], weights=used * counts[edges[0]], minlength=n + 1)
+        logs, expected = np.log(shares), np.zeros(n + 1)
+        for k, edges in zip(cuts, held, strict=True):
+            expected += _expected(edges, logs, counts[k : k + WORDS_AT_ONCE])
         expected[n] = 0
         shares = (expected + SMOOTHING) / (expected.sum() + SMOOTHING * n)
     shares[n] = UNKNOWN_SHARE
     return np.log(shares)
 
 
+def _expected(edges: tuple[np.ndarray, ...], logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the counted words of these edges."""
+    word, begin, end, piece, _ = edges
+    weight = logs[piece][:, None]
+    ahead, at = forward(edges, weight)
+    behind, _ = forward(edges, weight, backward=True)
+    whole = ahead[at[1:] - 1, 0]
+    used = np.exp(ahead[at[word] + begin, 0] + weight[:, 0] + behind[at[word] + end, 0] - whole[word])
+    return np.bincount(piece, weights=used * counts[word], minlength=len(logs))
+
+
 def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """(words of all texts, distinct by code; offsets of the texts): runs of letters and marks in small letters."""
     bare = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+", " "), " ")
@@ -207,7 +219,7 @@ class Scorer:
             if len(self.known) + len(new) > WORDS_HELD:
                 self.known, self.scores, new = {}, self.scores[:0], words
             if new and self.model.languages:
-                got = [word_scores(new[k : k + 4000], self.model.shares, self.model.path) for k in range(0, len(new), 4000)]
+                got = [word_scores(new[k : k + WORDS_AT_ONCE], self.model.shares, self.model.path) for k in range(0, len(new), WORDS_AT_ONCE)]
                 got = np.concatenate(got)
                 got[[k for k, w in enumerate(new) if not w]] = 0.0  # what an empty text is split into
                 self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
@@ -227,9 +239,20 @@ class Scorer:
         return out_lang, out_score
 
 
+_scorers: dict[tuple, Scorer] = {}  # of a worker, for the tasks that it runs one after another
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The worker's scorer of a model, with the words that its earlier tasks met; a worker holds one."""
+    key = (model.path, *model.languages, hashlib.sha256(model.shares.tobytes()).digest())
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
+
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(model)
+    scorer = scorer_of(model)
     for batch in batches:
         langs, scores = scorer.predict(batch.column(batch.num_columns - 1))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])

@@ -1,11 +1,14 @@
 """op7: the forward sums against all segmentations, and accuracy on held-out documents."""
 
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -133,3 +136,34 @@ def test_whole_query_against_all_segmentations(spark, tmp_path):
     assert got.keys() == want.keys() and any(w[0] for w in want.values())
     assert all(got[d][0] == want[d][0] and got[d][2] == pytest.approx(want[d][2], rel=1e-6) for d in want)
     assert all(got[d][1] == want[d][1] for d in want if want[d][2] > 0.51 or want[d][1] == "und")
+
+
+def test_fitting_holds_few_bytes_an_edge():
+    """All edges of a language at once, and what was computed from them, took more than an executor had."""
+    path = tokenizer_path(L.VOCABULARY)
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 14))) for _ in range(30_000)})
+    edges = len(L.pieces(path).edges(words)[0])
+    counts = np.arange(len(words)) % 7 + 1
+    tracemalloc.start()
+    got = L.fit(words, counts, path)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * edges
+    few = words[:500]
+    both = [L.fit(few, counts[:500], path)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(L, "WORDS_AT_ONCE", 7)
+        both.append(L.fit(few, counts[:500], path))
+    assert np.allclose(*both, rtol=0, atol=1e-9) and np.isfinite(got).all()
+
+
+def test_words_are_scored_once_a_worker():
+    """Each task scored the words of all tasks before it again."""
+    path = tokenizer_path(L.VOCABULARY)
+    model = L.Model([(lang, L.fit(words, np.ones(2), path).tolist()) for lang, words in (("a", ["one", "two"]), ("b", ["eins", "zwei"]))], path)
+    first = L.scorer_of(model)
+    assert first.predict(pa.array(["one two"]))[0] == ["a"]
+    again = L.scorer_of(pickle.loads(pickle.dumps(model)))
+    assert again is first and set(again.known) == {"one", "two"}
+    assert L.scorer_of(L.Model([("c", model.shares[:, 0].tolist())], path)) is not first
