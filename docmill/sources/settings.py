@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.functions.lines import once
 from docmill.registry import query, table
 
 DEPTH = 4  # of objects within objects that are merged; what lies deeper is replaced
@@ -47,9 +48,13 @@ def over(base: Column, own: Column, depth: int = DEPTH) -> Column:
     """Variants: own over base. Objects that both hold are merged field by field, anything else of own stands as it is, null included."""
     if not depth:
         return own
-    b, o = _fields(base), _fields(own)
-    fields = F.map_zip_with(b, o, lambda k, x, y: F.when(~F.map_contains_key(o, k), x).when(~F.map_contains_key(b, k), y).otherwise(over(x, y, depth - 1)))
-    return F.when(b.isNull() | o.isNull(), own).otherwise(F.parse_json(F.to_json(fields)))
+
+    def merged(b: Column, o: Column) -> Column:
+        fields = F.map_zip_with(b, o, lambda k, x, y: F.when(~F.map_contains_key(o, k), x).when(~F.map_contains_key(b, k), y).otherwise(over(x, y, depth - 1)))
+        return F.when(b.isNull() | o.isNull(), own).otherwise(F.parse_json(F.to_json(fields)))
+
+    # once: else the fields would be read again for each of them
+    return once(F.struct(_fields(base).alias("b"), _fields(own).alias("o")), lambda f: merged(f["b"], f["o"]))
 
 
 def effective(documents: DataFrame, defaults: dict = DEFAULTS) -> DataFrame:

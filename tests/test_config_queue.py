@@ -41,3 +41,10 @@ def test_queue(spark, tmp_path):
     assert Q.load(spark, path).collect() == []
     assert any(p.name.startswith("corrupt-") for p in (tmp_path / "queue").iterdir())
     assert {r.task_id for r in Q.load(spark, path).collect()} == {"a", "b", "c"}
+
+
+def test_fields_of_settings_are_read_once_a_level(spark):
+    rows = settings.effective(spark.createDataFrame([("a", '{"app": {"theme": "dark"}}')], "owner string, settings string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SchemaOfVariant.schemaOfVariant(") <= 2 * settings.DEPTH + 1
+    assert rows.select(settings.text(F.col("settings"), "$.app.theme")).first()[0] == "dark"
