@@ -17,7 +17,7 @@ from docmill.operators.blocks import clean, without_running_lines
 from docmill.operators.chunks import MOST, TARGET, split_documents
 from docmill.operators.naming import close_collisions
 from docmill.operators.pack_files import record, whole
-from docmill.plans.stored import new_place, stored
+from docmill.plans.stored import new_place, spread, stored
 from docmill.registry import query, table
 from docmill.sources.part_files import byte_parts, parts, whole_files, write_listed
 
@@ -65,7 +65,7 @@ def with_asset_links(docs: DataFrame, images: DataFrame) -> DataFrame:
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
     """docs (doc_id, name, markdown and any of suffix, sha256, assets, tools, pages) with every column, raw and content: the Markdown without the lines that
-    repeat on pages, with the rule of its suffix, cleaned."""
+    repeat on pages, with the rule of its suffix, cleaned. Documents are spread over all cores first."""
     have = set(docs.columns)
     rest = {
         "suffix": F.lower(F.regexp_extract("name", r"(\.[^./\\]+)$", 1)),
@@ -75,7 +75,7 @@ def cleaned_documents(docs: DataFrame) -> DataFrame:
         "pages": F.array().cast(PAGES),
     }
     d = docs.select("doc_id", "name", F.coalesce("markdown", F.lit("")).alias("raw"), *[F.coalesce(name, c).alias(name) if name in have else c.alias(name) for name, c in rest.items()])
-    return rules.by_suffix(d.withColumn("markdown", without_running("raw"))).withColumn("content", cleaned("markdown")).drop("markdown")
+    return rules.by_suffix(spread(d, "doc_id").withColumn("markdown", without_running("raw"))).withColumn("content", cleaned("markdown")).drop("markdown")
 
 
 def packaged(cleaned_docs: DataFrame) -> DataFrame:

@@ -120,3 +120,16 @@ def test_many_small_files_share_a_frame():
     assert pd.concat(frames)["content"].tolist() == frame["text"].tolist()
     long = frame.head(6).assign(text="x" * (part_files.FLUSH_BYTES // 2 + 1))
     assert [len(f) for f in part_files._whole(iter([long]), text=False)] == [2, 2, 2]
+
+
+def test_documents_of_one_small_file_are_cleaned_by_all_cores(spark):
+    """Few bytes were one task, of cleaning and of all that reads its result, however many documents they hold."""
+    from docmill.plans.stored import stored
+
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(400).coalesce(1).selectExpr("id as doc_id", "concat('d', id, '.md') as name", "concat('# D\\n\\n\\n### T ', id) as markdown")
+    d = stored(D.cleaned_documents(docs), "cleaned")
+    files = d.selectExpr("_metadata.file_path as f").distinct().count()
+    assert files >= cores
+    assert {(r.doc_id, r.content) for r in d.collect()} == {(k, f"# D\n\n## T {k}\n") for k in range(400)}
+    assert d.count() == 400
