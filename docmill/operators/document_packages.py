@@ -141,13 +141,14 @@ def issues_of(docs: DataFrame, most: int) -> DataFrame:
     """doc_id, rule_no, code, severity, line, label, tokens (of documents that are too long): warnings and errors of the cleaned texts of packaged docs, and the heading jumps of the raw ones that are not among them."""
     assets = docs.select("doc_id", F.explode("assets").alias("path"))
 
-    def labelled(text: str, spans: DataFrame) -> DataFrame:
-        found = rules.issues(docs.select("doc_id", "suffix", F.col(text).alias("markdown")), assets, most).filter(F.col("severity").isin("warning", "error"))
+    def labelled(text: str, spans: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
+        found = rules.issues(docs.select("doc_id", "suffix", F.col(text).alias("markdown")), assets, most, codes).filter(F.col("severity").isin("warning", "error"))
         label = F.get(F.filter("spans", lambda s: (s["start_line"] <= F.col("line")) & (s["end_line"] >= F.col("line"))), 0)["label"]
-        rows = found.join(spans.select("doc_id", "spans", token_estimate(F.col(text)).alias("tokens")), "doc_id")
+        size = token_estimate(F.col(text)) if codes is None or "oversized_document" in codes else F.lit(None).cast("long")
+        rows = found.join(spans.select("doc_id", "spans", size.alias("tokens")), "doc_id")
         return rows.select("doc_id", "rule_no", "code", "severity", "line", F.coalesce(label, F.lit("")).alias("label"), F.when(F.col("code") == "oversized_document", F.col("tokens")).alias("tokens"))
 
-    raw = labelled("raw", with_spans(docs.drop("spans"), "raw")).filter("code = 'heading_jump'")
+    raw = labelled("raw", with_spans(docs.drop("spans"), "raw"), ("heading_jump",))
     return labelled("content", docs).unionByName(raw).distinct()
 
 

@@ -133,3 +133,12 @@ def test_documents_of_one_small_file_are_cleaned_by_all_cores(spark):
     assert files >= cores
     assert {(r.doc_id, r.content) for r in d.collect()} == {(k, f"# D\n\n## T {k}\n") for k in range(400)}
     assert d.count() == 400
+
+
+def test_raw_texts_are_looked_through_for_heading_jumps_alone(spark):
+    """All nine rules and the images of raw texts were looked for, and all but the heading jumps were dropped."""
+    raw = "# A\n\n### B\n\n| a | b |\n| 1 |\n\n![x](none.png)\n\n```\nopen"
+    docs = D.packaged(D.cleaned_documents(spark.createDataFrame([(1, "a.docx", raw)], "doc_id long, name string, markdown string")))
+    found = D.issues_of(docs, 90)
+    assert sorted((r.code, r.line, r.tokens) for r in found.collect()) == [("heading_jump", 3, None), ("malformed_table", 6, None), ("missing_image", 8, None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("![") == 1
