@@ -26,9 +26,18 @@ TOKEN_SQL = r"""CAST(greatest(1, length(coalesce(text, '')) - length(regexp_repl
  + ceil(len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[\x{3400}-\x{9fff}\x{f900}-\x{faff}]', '', 'g'), '[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) / 4.0)) AS BIGINT)"""
 
 
+#: White space as regular expressions of SQL know it; Java's \s has \x0B besides.
+SQL_SPACE = r"[ \t\n\f\r]"
+
+
+def bare_line(line: Column) -> Column:
+    """A line without space of any script at its ends, as SQL's trim() leaves it."""
+    return F.regexp_replace(line, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def line_form(line: Column) -> Column:
     """The form in which page lines are compared: trimmed, white space single, digits replaced."""
-    return F.regexp_replace(F.regexp_replace(F.trim(line), r"\s+", " "), "[0-9]+", "<num>")
+    return F.regexp_replace(F.regexp_replace(bare_line(line), f"{SQL_SPACE}+", " "), "[0-9]+", "<num>")
 
 
 def safe_component(value: Column, fallback: str) -> Column:
