@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._common import ID, keyless_rows, mix64, ranges, runs, stored, unique_rows
+from docmill.llm._common import ID, keyless_rows, looked_up, mix64, ranges, runs, stored, unique_rows
 from docmill.llm._components import components
 
 COORDINATES = 128
@@ -127,6 +127,57 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, prefix: int) -> Itera
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "h1", "h2", "keys", "marks"])
 
 
+_LISTS = "list long, hub long, doc_id long"
+
+
+def _lists(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
+    """(key, doc_id), sorted by both -> the lists of two documents or more: list (a hash of its documents) and doc_id of each of its documents; of a list longer than
+    cap, list null, its least document as hub, and doc_id. No more than cap documents of a list are held."""
+
+    def rows(lists: np.ndarray | None, hubs: np.ndarray | None, docs: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(docs), pa.int64())
+        return pa.RecordBatch.from_arrays([none if lists is None else pa.array(lists), none if hubs is None else pa.array(hubs), pa.array(docs)], names=["list", "hub", "doc_id"])
+
+    def whole(key: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        starts = np.flatnonzero(runs(key))
+        size = np.diff(np.append(starts, len(key)))
+        h = doc.view(np.uint64)
+        mark = lambda salt: np.bitwise_xor.reduceat(mix64(mix64(h + np.uint64(salt)) * _A + np.uint64(salt)), starts)
+        name = mix64(mark(1) * _B + mix64(mark(2))).view(np.int64)
+        of, n = np.repeat(np.arange(len(starts)), size), np.repeat(size, size)
+        short, long = (n > 1) & (n <= cap), n > cap
+        if short.any():
+            yield rows(name[of[short]], None, doc[short])
+        if long.any():
+            yield rows(None, doc[starts][of[long]], doc[long])
+
+    key, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of a list that may go on
+    hub, at = None, 0  # of a list that goes on and is longer than cap
+    for batch in batches:
+        k, d = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if hub is not None:
+            same = int(np.searchsorted(k, at, "right"))
+            if same:
+                yield rows(None, np.full(same, hub), d[:same])
+            k, d = k[same:], d[same:]
+            if not len(k):
+                continue
+            hub = None
+        key, doc = np.concatenate([key, k]), np.concatenate([doc, d])
+        if not len(key):
+            continue
+        last = int(np.searchsorted(key, key[-1], "left"))
+        yield from whole(key[:last], doc[:last])
+        key, doc = key[last:], doc[last:]
+        if len(key) > cap:
+            hub, at = int(doc[0]), int(key[0])
+            yield rows(None, np.full(len(doc), hub), doc)
+            key, doc = key[:0], doc[:0]
+    yield from whole(key, doc)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each value of the first column, rows sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -253,18 +304,16 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     docs = unique_rows(documents, ID, "text")
     signed = stored(docs.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, marks binary"), "signed")
     full = signed.filter("n_shingles > 0")
-    same = full.groupBy("h1", "h2", "n_shingles").agg(F.min(ID).alias("rep"))
-    reps = full.join(same.select(F.col("rep").alias(ID)), ID, "left_semi")
-    posted = reps.select(ID, F.explode("keys").alias("key"))
-    mark = lambda salt: F.expr(f"bit_xor(xxhash64(doc_id, {salt}))")
-    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.min(ID).alias("hub"), mark(1).alias("m1"), mark(2).alias("m2")).filter("n > 1")
-    rows = stored(posted.join(lists, "key"), "postings")
-    members = rows.filter(F.col("n") <= list_cap).groupBy("m1", "m2", ID).agg(F.first("n").alias("n"))  # equal lists are one
-    listed = members.select(F.expr("xxhash64(m1, m2)").alias("list"), ID).join(reps.select(ID, "marks"), ID).select("list", ID, "marks")
+    same = stored(full.groupBy("h1", "h2", "n_shingles").agg(F.min(ID).alias("rep")), "sets")
+    reps = full.join(looked_up(same.select(F.col("rep").alias(ID))), ID, "left_semi")
+    posted = reps.select(F.explode("keys").alias("key"), ID)  # exchanged once, as key and id alone
+    rows = stored(posted.repartition("key").sortWithinPartitions("key", ID).mapInArrow(partial(_lists, cap=list_cap), _LISTS), "postings")
+    members = rows.filter("hub is null").select("list", ID).distinct()  # equal lists are one
+    listed = members.join(reps.select(ID, "marks"), ID).select("list", ID, "marks")
     edges = listed.repartition("list").sortWithinPartitions("list").mapInArrow(partial(_forests, least=least), "a long, b long")
-    edges = edges.unionByName(rows.filter(F.col("n") > list_cap).select(F.col("hub").alias("a"), F.col(ID).alias("b")))
+    edges = edges.unionByName(rows.filter("hub is not null").select(F.col("hub").alias("a"), F.col(ID).alias("b")))
     clusters = stored(components(edges).join(full.select(F.col(ID).alias("node"), "n_shingles"), "node"), "clusters")
-    texts = clusters.select("component", F.col("node").alias(ID)).join(docs, ID).select("component", ID, "text")
+    texts = docs.join(looked_up(clusters.select("component", F.col("node").alias(ID))), ID).select("component", ID, "text")
     sets = texts.mapInArrow(partial(_sets, words=words), "cluster long, doc_id long, shingles binary")
     settled, forest = partial(_settled, percent=percent), "a long, b long"
     large = clusters.groupBy("component").agg(F.sum("n_shingles").alias("size")).filter(F.col("size") > cluster_cap)

@@ -2,10 +2,14 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from docmill.llm import minhash_dedup as M
+from docmill.llm._common import stored
 from docmill.llm._components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,3 +126,32 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     alone = {n for n in label if not any(n in e and e[0] != e[1] for e in edges)}
     assert got == {n: c for n, c in label.items() if n not in alone}
+
+
+@pytest.mark.parametrize("cap", [1, 3, 50])
+def test_lists_over_batches_of_any_size(cap):
+    r = random.Random(cap)
+    pairs = sorted((r.choice([-7, -1, 3, *range(100, 130)]), d) for d in r.sample(range(-200, 200), 150))
+    pairs = sorted({*pairs, *((500, d) for _, d in pairs[:9]), *((501, d) for _, d in pairs[:9])})
+    for step in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in pairs[i : i + step]], pa.int64()), "doc_id": pa.array([d for _, d in pairs[i : i + step]], pa.int64())}) for i in range(0, len(pairs), step)]
+        got = [x for b in M._lists(iter(batches), cap) for x in b.to_pylist()]
+        of_key = {k: sorted(d for x, d in pairs if x == k) for k, _ in pairs}
+        named = {}
+        for x in got:
+            if x["hub"] is None:
+                named.setdefault(x["list"], []).append(x["doc_id"])
+        short = {tuple(d) for d in of_key.values() if 1 < len(d) <= cap}
+        assert {tuple(sorted(set(d))) for d in named.values()} == short and len(named) == len(short)  # equal lists have one name
+        assert sorted((x["hub"], x["doc_id"]) for x in got if x["hub"] is not None) == sorted((d[0], x) for d in of_key.values() if len(d) > max(cap, 1) for x in d)
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    size = lambda: sum(p.stat().st_size for folder in manager.localDirsString() for p in Path(folder).glob("*/shuffle_*"))
+    before = size()
+    assert stored(spark.range(300_000).selectExpr("xxhash64(id) AS k").repartition("k"), "test").count() == 300_000
+    deadline = time.time() + 10
+    while (left := size() - before) > 100_000 and time.time() < deadline:  # files go a moment later
+        time.sleep(0.2)
+    assert left < 100_000

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against what brute force says of its own input."""
 
+from pathlib import Path
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -106,3 +108,12 @@ def test_columns_without_an_order(spark):
     assert len(kept) == 2 and kept[1].tags == {"k": 2} and kept[1].v == '{"a":1}' and kept[2].text == rows[2][1]
     cut = corpus_pipeline.substring_dedup(spark, df, "")
     assert cut.columns == df.columns and {r.doc_id for r in cut.select("doc_id", "tags").collect()} == {1, 2}
+
+
+def test_tables_of_earlier_stages_are_deleted(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "docmill"
+    tables = lambda: {p.name for p in folder.glob("*") if not p.name.startswith(".")}
+    before = tables()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [name.rsplit("-", 1)[0] for name in tables() - before] == ["stage-best-fit-packing"]
+    assert out.count() > 0
